@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, mixing, simhash, urlfilter
+from docloom.llm import chat, mixing, pii, simhash, toxicity, urlfilter
 from docloom.session import table
 
 
@@ -18,6 +18,14 @@ def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
@@ -30,6 +38,8 @@ def queries() -> dict:
     return {
         "op2_mix_sources": op2_mix_sources,
         "op4_simhash_neardup": op4_simhash_neardup,
+        "op5_toxicity": op5_toxicity,
+        "op6_pii": op6_pii,
         "op9_chat_perspectives": op9_chat_perspectives,
         "op10_url_filter": op10_url_filter,
     }
