@@ -57,3 +57,9 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bounds the rows that an Arrow batch hands to Python, as texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores, where its files give fewer partitions than there are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
