@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.session import cut, small_batches
+from docloom.session import cut, small_batches, spread
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
@@ -255,7 +255,7 @@ def candidates(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, kind) for c in cols)], ["doc_id", "base", "wide", "base_codes", "wide_codes"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SCANNED)
+    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, _SCANNED)
 
 
 def fit(scanned: DataFrame) -> np.ndarray:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.graph import stars
-from docloom.session import cut, small_batches
+from docloom.session import cut, small_batches, spread
 
 SHINGLE = 3
 RADIUS = 2
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))).mapInArrow(run, "doc_id long, fp long")
 
 
 def _split(points: np.ndarray, seen: np.ndarray, radius: int, rng: np.random.Generator):

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.session import cut, small_batches
+from docloom.session import cut, small_batches, spread
 
 EXAMPLES = 4096
 VOCABULARY = 2048
@@ -280,7 +280,7 @@ def score(docs: DataFrame, labels: DataFrame, cut_at: float = CUT, evidence: int
             sims = pa.array([o[2][:evidence].tolist() for o in out], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= cut_at).astype(np.int32)), near, sims], ["doc_id", "held_out", "score", "predicted", "evidence", "cosines"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), (~train_fold(F.col("doc_id"))).alias("held_out"), F.col("text").cast("binary").alias("text"))
+    rows = spread(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long"), (~train_fold(F.col("doc_id"))).alias("held_out"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence array<long>, cosines array<double>")
 
 
