@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, lm, mixing, pii, simhash, toxicity, urlfilter
+from docloom.llm import chat, html_extract, lm, mixing, pii, simhash, toxicity, urlfilter
 from docloom.session import table
 
 
@@ -26,6 +26,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def queries() -> dict:
         "op4_simhash_neardup": op4_simhash_neardup,
         "op5_toxicity": op5_toxicity,
         "op6_pii": op6_pii,
+        "op7_html_main_text": op7_html_main_text,
         "op8_lm_score": op8_lm_score,
         "op9_chat_perspectives": op9_chat_perspectives,
         "op10_url_filter": op10_url_filter,
