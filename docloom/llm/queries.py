@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, html_extract, lm, mixing, pii, simhash, toxicity, urlfilter
+from docloom.llm import chat, decontam, html_extract, lm, mixing, pii, simhash, toxicity, urlfilter
 from docloom.session import table
 
 
@@ -14,6 +14,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op2_mix_sources": op2_mix_sources,
+        "op3_decontaminate": op3_decontaminate,
         "op4_simhash_neardup": op4_simhash_neardup,
         "op5_toxicity": op5_toxicity,
         "op6_pii": op6_pii,
