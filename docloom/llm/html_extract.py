@@ -247,7 +247,8 @@ def main_slots(parsed: DataFrame, template: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of `pages`."""
     parsed = cut(parse_pages(pages), "html-parsed")
-    main = main_slots(parsed, templates(parsed)).select(F.col("host").alias("h"), "main")
+    # Written, its size is known: Spark broadcasts it if it is small, and else shuffles both sides.
+    main = cut(main_slots(parsed, templates(parsed)).select(F.col("host").alias("h"), "main"), "html-main")
     x = parsed.select("page_id", "url", "host", "blocks").join(main, F.col("host") == F.col("h"), "left")
     here = F.coalesce("main", F.lit(""))
     inside = F.filter("blocks", lambda b: (here != "") & ((b["path"] == here) | F.startswith(b["path"], F.concat(here, F.lit("/")))))
