@@ -41,9 +41,9 @@ from pyspark.sql import functions as F
 from docloom.session import cut, small_batches, spread
 
 WINDOW = 32
-RANK = 64
-COSINE = 0.5
-LEAST = 0.3
+RANK = 192
+COSINE = 0.45
+LEAST = 0.2
 COVER = 0.7
 COVER_ANSWER = 0.5
 SHORT = 8
