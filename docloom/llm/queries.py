@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, decontam, html_extract, lm, mixing, pii, simhash, toxicity, urlfilter
+from docloom.llm import ann, chat, decontam, html_extract, lm, mixing, pii, simhash, toxicity, urlfilter
 from docloom.session import table
 
 
+def op1_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
@@ -48,6 +52,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_ann_search": op1_ann_search,
         "op2_mix_sources": op2_mix_sources,
         "op3_decontaminate": op3_decontaminate,
         "op4_simhash_neardup": op4_simhash_neardup,
