@@ -200,3 +200,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     names = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     named = roots.select("fp", "root").join(names, "root").select(F.col("fp").alias("f"), "component_id")
     return found.join(named, found["fp"] == named["f"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One document of each group of near-duplicates: that of the smallest doc_id, with all its columns.
+
+    Rows that repeat a doc_id are copies of one document; the one whose columns
+    sort first stays.  Rows without a doc_id cannot be told apart and stay.
+    """
+    found = cut(near_duplicates(docs, radius).select("doc_id", "component_id"), "simhash-named")
+    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(keep, "doc_id", "left_semi")
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
+        rest = [c for c in docs.columns if c != "doc_id"]
+        kept = kept.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r")).select(*(F.col("doc_id") if c == "doc_id" else F.col("r")[c].alias(c) for c in docs.columns))
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
