@@ -212,7 +212,7 @@ class Matcher:
             grid[np.repeat(np.arange(len(need)), length), np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)] = tokens[at]
             x = np.zeros((len(need) + 1, self.folded.shape[1]), dtype=np.float32)
             for k in range(half):
-                x[:-1] += self.folded[grid[:, k]]
+                x[:-1] += self.folded.take(grid[:, k], axis=0)
             sums = x[np.searchsorted(need, f)] + x[np.where(g < len(doc_of), np.searchsorted(need, g), len(need))]
             sums /= norm[i : i + _SLICE, None]
             sims = sums @ self.latent.T
