@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are words and their beginnings of 4, 5 and 6 bytes.  The vocabulary is
-what tells the labelled classes apart (chi-square), idf is counted over all
+what tells the labelled classes apart (chi-square and odds), idf is counted over all
 documents, and the labelled examples are a bounded sample: at most `EXAMPLES`
 of each class, by a hash of doc_id, each weighted by how many of its class it
 stands for.
@@ -40,9 +40,10 @@ EXAMPLES = 4096
 VOCABULARY = 2048
 BLOCK = 64
 NEAREST = 16
-#: The cut of `predicted`, and the chi-square that a term must reach.
+#: The cut of `predicted`; the chi-square, and the ratio of the classes' shares, that a term must reach.
 CUT = 0.3
 CHI2 = 20.0
+ODDS = 3.0
 PREFIXES = (4, 5, 6)
 _CLEAN = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256)).lower()
 _FLUSH = 1 << 18
@@ -114,7 +115,9 @@ def select_terms(examples: DataFrame, n: tuple[int, int], size: int = VOCABULARY
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     det = a * (n1 - b) - b * (n0 - a)
     chi2 = (n0 + n1) * det * det / (n0 * n1 * (a + b) * F.greatest(F.lit(1e-9), F.lit(n0 + n1) - a - b))
-    top = c.withColumn("chi2", chi2).where(F.col("chi2") >= least).orderBy(F.desc("chi2"), "term").limit(size)
+    odds = ((b + 1) / (n1 + 2)) / ((a + 1) / (n0 + 2))
+    apart = (odds >= ODDS) | (odds <= 1 / ODDS)  # else long and short documents would tell the classes apart
+    top = c.withColumn("chi2", chi2).where((F.col("chi2") >= least) & apart).orderBy(F.desc("chi2"), "term").limit(size)
     return [bytes(r["term"]) for r in top.collect()]
 
 
