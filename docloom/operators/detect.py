@@ -23,7 +23,7 @@ EXTENSIONS = {
     "text": "txt text log", "markdown": "md markdown mdown", "html": "html htm", "json": "json", "xml": "xml", "csv": "csv", "tsv": "tsv",
     "feed": "rss atom", "notebook": "ipynb", "docx": "docx docm", "pptx": "pptx pptm ppsx ppsm potx", "xlsx": "xlsx xlsm", "odf": "odt ods odp",
     "epub": "epub", "rtf": "rtf", "zip": "zip", "drawio": "drawio", "image": "png jpg jpeg gif webp bmp tif tiff", "pdf": "pdf", "rar": "rar",
-    "legacy-office": "doc ppt xls", "msg": "msg", "audio": "mp3 wav flac ogg m4a", "video": "mp4 mkv webm mov",
+    "doc": "doc", "ppt": "ppt", "xls": "xls", "msg": "msg", "audio": "mp3 wav flac ogg m4a", "video": "mp4 mkv webm mov",
 }
 MEDIA_TYPES = {
     "text/plain": "text", "text/markdown": "markdown", "text/html": "html", "application/xhtml+xml": "html", "application/json": "json", "application/xml": "xml", "text/xml": "xml",
@@ -35,8 +35,9 @@ CONVERTERS = (
     ("text", 100, ["text"]), ("delimited", 110, ["csv", "tsv"]), ("markdown", 120, ["markdown"]), ("structured", 200, ["json", "xml"]), ("html", 210, ["html"]),
     ("feed", 220, ["feed"]), ("zip", 220, ["zip"]), ("drawio", 220, ["drawio"]), ("epub", 240, ["epub"]), ("rtf", 240, ["rtf"]), ("odf", 245, ["odf"]),
     ("notebook", 250, ["notebook"]), ("docx", 250, ["docx"]), ("presentation", 250, ["pptx"]), ("workbook", 250, ["xlsx"]), ("image", 260, ["image"]),
-    ("mediawiki", 200, ["mediawiki"]),
+    ("mediawiki", 200, ["mediawiki"]), ("legacy-office", 230, ["doc", "ppt", "xls"]), ("msg", 250, ["msg"]),
 )
+COMPOUND = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
 _CONF = {"drawio": 1.0, "docx": 0.91, "pptx": 0.91, "xlsx": 0.91, "odf": 0.91, "epub": 0.91, "markdown": 0.99, "csv": 0.99, "tsv": 0.99, "rar": 0.05}
 
 
@@ -66,7 +67,7 @@ def magic(content: Column) -> tuple[Column, Column]:
         (head.startswith("255044462D"), "pdf", 0.99), (head.startswith("7B5C727466"), "rtf", 0.99), (head.startswith("89504E470D0A1A0A"), "image", 0.98),
         (head.startswith("FFD8FF"), "image", 0.98), (head.startswith("474946383761") | head.startswith("474946383961"), "image", 0.98), (head.startswith("424D"), "image", 0.98),
         (head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "image", 0.98), (head.startswith("49492A00") | head.startswith("4D4D002A"), "image", 0.98),
-        (head.startswith("526172211A07"), "rar", 0.99), (head.startswith("D0CF11E0A1B11AE1"), "legacy-office", 0.90), (head.startswith("664C6143") | head.startswith("494433"), "audio", 0.96),
+        (head.startswith("526172211A07"), "rar", 0.99), (head.startswith("664C6143") | head.startswith("494433"), "audio", 0.96),
         (head.startswith("52494646") & (F.substring(head, 17, 8) == "57415645"), "audio", 0.96), (head.startswith("1A45DFA3"), "video", 0.96), (F.substring(head, 9, 8) == "66747970", "video", 0.96),
     )
     fmt, conf = F.lit(None).cast("string"), F.lit(None).cast("double")
@@ -154,6 +155,8 @@ def sniff_text(data: bytes) -> tuple[str, float] | None:
 
 def content_evidence(docs: DataFrame) -> DataFrame:
     """Evidence of bytes: magic numbers as columns, packages and texts by one pass over the content."""
+    from docloom.sources.compound import kind_of
+
     fmt, conf = magic(F.col("content"))
     known = docs.select("doc_id", fmt.alias("format"), conf.alias("confidence")).where("format is not null")
 
@@ -165,6 +168,9 @@ def content_evidence(docs: DataFrame) -> DataFrame:
                 if data.startswith(b"PK\x03\x04"):
                     kind = package_format(data)
                     out.append((i, kind or "zip", 0.90 if kind in (None, "zip") else 0.99))
+                elif data.startswith(COMPOUND):
+                    if kind := kind_of(data):
+                        out.append((i, kind, 0.99))
                 elif t := sniff_text(data):
                     out.append((i, *t))
                     s = data.decode("utf-8", "replace")

@@ -64,8 +64,6 @@ def text_document(data: bytes, **_) -> Document:
             run = []
     if run:
         doc.blocks.append(ir.paragraph(*ir.lines("\n".join(run))))
-    if doc.blocks and re.search(r"[\r\n]$", s) and not re.search(r"(\r\n|\r|\n)(\r\n|\r|\n)$", s):
-        pass
     return doc
 
 
