@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import markdown as md
-from docloom.operators import analysis, detect
+from docloom.functions import web
+from docloom.operators import analysis, detect, layout, speech
 from docloom.plans import convert as plan
 from docloom.session import spread, table
 from docloom.sources.readers import from_text
@@ -228,9 +229,55 @@ def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (convert_pages, convert_documents, html_nodes, text_paragraphs, text_markdown, html_escape, html_metadata, safe_links, delimited_table, json_lines, media_clock, cell_names, footnote_labels, text_safety, format_hints, converter_choice, resource_limits, running_matter, feed_dedup, asset_plan, list_numbering, speaker_merge, token_turns, region_overlap, quality_audit, node_differences, orphan_references, batch_report, keyset_page, output_names, heading_levels, ancestry, robust_values, patched_nodes, cluster_assignment, daily_events)}
+def speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as segments of twenty recordings."""
+    e = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 20).alias("rec_id"), F.col("vec_id").cast("int").alias("seq"), "embedding")
+    return speech.diarize(e).select("rec_id", "seq", "speaker", "reliable")
+
+
+def page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as boxes of two columns, twenty to a page."""
+    k = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select(F.lit("d").alias("doc_id"), F.floor(k / 20).cast("int").alias("page"), k.cast("int").alias("box"), (k % 2 * 110).cast("double").alias("x"), (F.floor(k % 20 / 2) * 20).cast("double").alias("y"), F.lit(100.0).alias("w"), F.lit(12.0).alias("h"))
+    return layout.reading_order(p).select("page", "box", "position")
+
+
+def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as tokens heard in windows of 1,000 every 800."""
+    t = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 10).alias("rec_id"), (F.col("l_orderkey") % 7).cast("int").alias("window"), (F.col("l_linenumber") * 100 + F.col("l_orderkey") % 97).alias("add"), F.col("l_orderkey"))
+    t = t.select("rec_id", "window", (F.col("window") * 800).alias("win_start"), (F.col("window") * 800 + 1000).alias("win_end"), (F.col("window") * 800 + F.col("add")).alias("at_ms"))
+    return speech.own_tokens(t).groupBy("rec_id", "window").agg(F.count("*").alias("tokens"), F.min("at_ms").alias("first"), F.max("at_ms").alias("last"))
+
+
+def http_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", web.is_http_base(F.col("url")).alias("base"))
+
+
+def feed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates as RFC 822, read back."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "d MMM yyyy HH:mm:ss").alias("d"))
+    return o.select("o_orderkey", F.date_format(web.to_utc(F.concat(F.col("d"), F.lit(" GMT"))), "yyyy-MM-dd").alias("day"))
+
+
+def paragraph_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as lines of a page, a wide gap before every fourth."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    y = F.col("line") * 12 + F.floor(F.col("line") / 4) * 20
+    x = d.select("doc_id", F.lit(1).alias("page"), "line", F.lit(0.0).alias("x"), y.cast("double").alias("y"), F.lit(100.0).alias("w"), F.lit(10.0).alias("h"), "text")
+    return layout.paragraphs_of_lines(x).groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.max(F.length("text")).alias("longest"))
+
+
+QUERIES = {f.__name__: f for f in (convert_pages, convert_documents, html_nodes, text_paragraphs, text_markdown, html_escape, html_metadata, safe_links, delimited_table, json_lines, media_clock, cell_names, footnote_labels, text_safety, format_hints, converter_choice, resource_limits, running_matter, feed_dedup, asset_plan, list_numbering, speaker_merge, token_turns, region_overlap, quality_audit, node_differences, orphan_references, batch_report, keyset_page, output_names, heading_levels, ancestry, robust_values, patched_nodes, cluster_assignment, daily_events, speakers, page_order, token_windows, http_bases, feed_dates, paragraph_lines)}
 
 ORACLES = {
+    "page_order": "SELECT (p_partkey // 20)::INTEGER AS page, p_partkey::INTEGER AS box, (row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey % 2, p_partkey) - 1)::INTEGER AS position FROM part",
+    "token_windows": """WITH t AS (SELECT l_orderkey % 10 AS rec_id, (l_orderkey % 7)::INTEGER AS w, (l_orderkey % 7) * 800 + l_linenumber * 100 + l_orderkey % 97 AS at_ms FROM lineitem),
+        s AS (SELECT rec_id, w, coalesce((w * 800 + lag(w * 800 + 1000) OVER o) / 2.0, w * 800) AS lo, coalesce((w * 800 + 1000 + lead(w * 800) OVER o) / 2.0, w * 800 + 1001) AS hi FROM (SELECT DISTINCT rec_id, w FROM t) WINDOW o AS (PARTITION BY rec_id ORDER BY w))
+        SELECT t.rec_id, t.w AS "window", count(*) AS tokens, min(at_ms) AS first, max(at_ms) AS last FROM t JOIN s ON t.rec_id = s.rec_id AND t.w = s.w WHERE at_ms >= lo AND at_ms < hi GROUP BY ALL""",
+    "http_bases": "SELECT page_id, regexp_matches(url, '^https?://[^/?#@]+(/[^?#]*)?$') AS base FROM pages",
+    "feed_dates": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders",
+    "paragraph_lines": """WITH l AS (SELECT doc_id::VARCHAR AS doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents),
+        p AS (SELECT doc_id, n // 4 AS k, sum(length(t)) + count(*) - 1 AS chars FROM l GROUP BY ALL) SELECT doc_id, count(*) AS paragraphs, max(chars)::INTEGER AS longest FROM p GROUP BY doc_id""",
     "text_paragraphs": "SELECT doc_id, 1::INTEGER AS paragraph, regexp_replace(text, '\\r\\n|\\r', chr(10), 'g') AS text FROM documents WHERE NOT contains(text, chr(10) || chr(10)) AND text <> ''",
     "text_markdown": r"""SELECT doc_id, replace(regexp_replace(replace(text, '&', '&amp;'), '([\\`*\[\]<~])', '\\\1', 'g'), chr(10), '  ' || chr(10)) || chr(10) AS markdown FROM documents WHERE NOT contains(text, '_')""",
     "html_escape": """SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM pages""",
