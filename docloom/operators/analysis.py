@@ -151,13 +151,20 @@ def apply_patch(nodes: DataFrame, patch: DataFrame) -> DataFrame:
     return nodes.join(patch.select(*keys), keys, "left_anti").unionByName(patch)
 
 
-def cluster_margin(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Best centroid of each vector and its lead over the runner-up; centroids are a small table.
+def cluster_margin(vectors: DataFrame, centroids: DataFrame, most: int = 256) -> DataFrame:
+    """Best centroid of each vector (vec_id, v) and its lead over the runner-up.
 
-    vectors: vec_id, v; centroids: label, c.
+    centroids (label, c) are the speakers of a recording or the like: `most`
+    of them at the most, held in the plan as a constant, so nothing is joined.
     """
     from docloom.functions.markdown import cosine
 
-    x = vectors.crossJoin(F.broadcast(centroids)).select("vec_id", "label", cosine(F.col("v"), F.col("c")).alias("s"))
-    g = x.groupBy("vec_id").agg(F.max(F.struct("s", (-F.col("label")).alias("l"))).alias("top"), F.max("s").alias("m"), F.sort_array(F.collect_list("s"), asc=False).alias("all"))
-    return g.select("vec_id", (-F.col("top.l")).alias("label"), F.col("top.s").alias("similarity"), (F.col("all")[0] - F.get("all", F.lit(1))).alias("margin"))
+    rows = centroids.select("label", "c").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} centroids")
+    if not rows:
+        return vectors.select("vec_id", F.lit(None).cast("long").alias("label"), F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("double").alias("margin"))
+    sims = F.array(*[F.struct(cosine(F.col("v"), F.array(*map(F.lit, map(float, r["c"])))).alias("s"), F.lit(-r["label"]).cast("long").alias("l")) for r in sorted(rows, key=lambda r: r["label"])])
+    x = vectors.select("vec_id", F.sort_array(sims, asc=False).alias("all"))
+    best = F.col("all")[0]
+    return x.select("vec_id", (-best["l"]).alias("label"), best["s"].alias("similarity"), (best["s"] - F.get("all", F.lit(1))["s"]).alias("margin"))
