@@ -1,8 +1,8 @@
 r"""Language-model scoring by a hashed maximum-entropy model.
 
-p(word | history) = p(class | history) p(word | class).  The class factor is a
-softmax over hashed features of the history: the word before, the one before
-that (a skip), both, and the pair around a gap.  Classes are the end of the
+p(word | history) = p(group | history) p(class | group, history) p(word | class).
+The first two factors are softmaxes over hashed features of the history: the
+word before, the one before that (a skip), both, and the pair around a gap.  Classes are the end of the
 text, the most frequent words one by one, and `SUFFIXES` groups of all other
 words by a hash of their last two bytes.  Within a group a word has its share
 of the group's counts, smoothed as in the base score.
@@ -25,6 +25,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,6 +45,9 @@ SUFFIXES = 32
 FEATURES = 1 << 14
 SMOOTH = 0.1
 CLASSES = 1 + SINGLES + SUFFIXES
+#: Classes are dealt into groups; each choice is among WIDE.  Every feature has a row of weights for each choice.
+WIDE = 8
+CHOICES = 1 + CLASSES // WIDE
 N_FEATURES = 4
 RATE = 0.5
 ROUNDS = 1
@@ -91,7 +95,7 @@ class Lexicon:
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         """Hashes, classes, counts (-1: not in the head) and the words that are not in the head."""
-        rows = np.fromiter(map(self.head.get, words, _ABSENT), dtype=np.int64, count=len(words))
+        rows = np.fromiter(map(self.head.get, words, itertools.repeat(-1)), dtype=np.int64, count=len(words))
         h, c, n = self.hashes[rows], self.classes[rows], self.counts[rows]
         at = np.flatnonzero(rows < 0)
         rest = [words[i] for i in at.tolist()]
@@ -102,17 +106,6 @@ class Lexicon:
         return h, c, n, rest
 
 
-class _Minus:
-    def __iter__(self):
-        return self
-
-    def __next__(self):
-        return -1
-
-
-_ABSENT = _Minus()
-
-
 def lexicon(counts: DataFrame, ends: int, most: int = HEAD) -> Lexicon:
     """The frequent words and the totals of all classes, from the table of counts."""
     by_count = counts.groupBy("n").count().collect() if ends else []
@@ -152,10 +145,28 @@ def features(h: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray
     return np.stack([((m ^ (m >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)) % np.uint64(FEATURES) for m in mixed], axis=1).astype(np.int32)
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
-    z = weights[f[:, 0]] + weights[f[:, 1]] + weights[f[:, 2]] + weights[f[:, 3]] + bias
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def choices(f: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two choices a token, all groups first: rows of the weights, number of the choice, what was chosen."""
+    group = (c // WIDE).astype(np.int32)
+    rows = f * np.int32(CHOICES)
+    node = np.concatenate([np.zeros(len(f), dtype=np.int32), group + 1])
+    return np.concatenate([rows, rows + group[:, None] + 1]), node, np.concatenate([group, (c % WIDE).astype(np.int32)])
+
+
+def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, node: np.ndarray) -> np.ndarray:
+    z = bias.take(node, axis=0)
+    for k in range(N_FEATURES):
+        z += weights.take(rows[:, k], axis=0)
+    np.clip(z, -40, 40, out=z)  # sums of exponentials stay finite
+    z -= np.log(np.exp(z) @ np.ones((z.shape[1], 1), dtype=np.float32))
+    return z
+
+
+def log_classes(weights: np.ndarray, bias: np.ndarray, f: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Natural logarithm of each token's class given its history."""
+    rows, node, chosen = choices(f, c)
+    p = log_softmax(weights, bias, rows, node)[np.arange(len(rows)), chosen]
+    return p[: len(f)].astype(np.float64) + p[len(f) :]
 
 
 class Trainer:
@@ -164,19 +175,22 @@ class Trainer:
     def __init__(self, weights: np.ndarray, bias: np.ndarray):
         self.w, self.bias = weights.copy(), bias
         self.g2 = np.full(self.w.shape, 1e-2, dtype=np.float32)
-        self.seen = np.zeros(FEATURES, dtype=np.int64)
-
-    def update(self, f: np.ndarray, target: np.ndarray) -> None:
-        g = np.exp(log_softmax(self.w, self.bias, f))
-        g[np.arange(len(f)), target] -= 1
-        flat = f.ravel()
-        order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        rows, n = flat[order][first], np.diff(np.append(first, len(flat)))
-        d = np.add.reduceat(g[order // N_FEATURES], first, axis=0) / np.sqrt(n)[:, None].astype(np.float32)
-        self.seen[rows] += n
-        self.g2[rows] += d * d
-        self.w[rows] -= RATE * d / np.sqrt(self.g2[rows])
+        self.seen = np.zeros(len(weights), dtype=np.int64)
+
+    def update(self, f: np.ndarray, c: np.ndarray) -> None:
+        rows, node, chosen = choices(f, c)
+        g = np.exp(log_softmax(self.w, self.bias, rows, node))
+        g[np.arange(len(rows)), chosen] -= 1
+        flat = rows.ravel()
+        order = np.argsort(flat)
+        ordered = flat.take(order)
+        first = np.flatnonzero(np.diff(ordered, prepend=-1))
+        at, n = ordered[first], np.diff(np.append(first, len(flat)))
+        d = np.add.reduceat(g.take(order // N_FEATURES, axis=0), first, axis=0) / np.sqrt(n)[:, None].astype(np.float32)
+        self.seen[at] += n
+        g2 = self.g2.take(at, axis=0) + d * d
+        self.g2[at] = g2
+        self.w[at] -= RATE * d / np.sqrt(g2)
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
@@ -200,9 +214,10 @@ def train(texts: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> tuple[np.ndar
     share = np.bincount(lex.classes[:-1], weights=lex.counts[:-1], minlength=CLASSES) + 1.0
     share[0] += lex.ends
     share[1 + SINGLES :] = 10 ** lex.class_log[1 + SINGLES :]
-    bias = np.log(share / share.sum()).astype(np.float32)
-    weights = np.zeros((FEATURES, CLASSES), dtype=np.float32)
-    columns = [f"c{i}" for i in range(CLASSES)]
+    share = share.reshape(-1, WIDE)
+    bias = np.log(np.vstack([share.sum(axis=1) / share.sum(), share / share.sum(axis=1, keepdims=True)])).astype(np.float32)
+    weights = np.zeros((FEATURES * CHOICES, WIDE), dtype=np.float32)
+    columns = [f"c{i}" for i in range(WIDE)]
     schema = "feature int, seen long, " + ", ".join(f"{c} float" for c in columns)
     for _ in range(rounds if lex.ends else 0):
         shared = sc.broadcast((lex, weights, bias))
@@ -217,7 +232,7 @@ def train(texts: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> tuple[np.ndar
                     trainer.update(f[i : i + _BATCH], c[i : i + _BATCH])
             at = np.flatnonzero(trainer.seen)
             moved = (trainer.w[at] - weights[at]) * trainer.seen[at][:, None].astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(trainer.seen[at]), *(pa.array(moved[:, k]) for k in range(CLASSES))], ["feature", "seen", *columns])
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(trainer.seen[at]), *(pa.array(moved[:, k]) for k in range(WIDE))], ["feature", "seen", *columns])
 
         moved = texts.select("text").mapInArrow(run, schema).groupBy("feature").agg(F.sum("seen").alias("seen"), *(F.sum(c).cast("float").alias(c) for c in columns))
         got = moved.toArrow()
@@ -249,8 +264,7 @@ def score(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
             f = features(h, starts, sizes)
             log_c = np.empty(len(f))
             for i in range(0, len(f), _BATCH):
-                p = log_softmax(weights, bias, f[i : i + _BATCH])
-                log_c[i : i + _BATCH] = p[np.arange(len(p)), c[i : i + _BATCH]]
+                log_c[i : i + _BATCH] = log_classes(weights, bias, f[i : i + _BATCH], c[i : i + _BATCH])
             known = n >= 0
             log_n = np.where(known, np.log10(np.maximum(n, 0) + SMOOTH), 0.0)
             base = np.add.reduceat(log_n, starts) - sizes * base_log
