@@ -209,7 +209,8 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     sort first stays.  Rows without a doc_id cannot be told apart and stay.
     """
     found = cut(near_duplicates(docs, radius).select("doc_id", "component_id"), "simhash-named")
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    # As many ids as documents stay: never a broadcast, whatever the size.
+    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct().hint("merge")
     kept = docs.join(keep, "doc_id", "left_semi")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
         rest = [c for c in docs.columns if c != "doc_id"]
