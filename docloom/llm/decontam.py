@@ -3,12 +3,13 @@
 The benchmark is the query set; it is taken in blocks of bounded size.  Its
 items are cut into passages of `WINDOW` words, weighted by TF-IDF whose
 document frequencies are counted over all documents.  A distributed randomised
-SVD of the passages gives a latent space: products with the passage table run
-on the executors, only the thin factor comes to the driver.  Every window of
-every document (`WINDOW` words, half overlapping) is folded into that space
-and compared by cosine with all passages of the block; windows whose weight
-lies mostly in words that the benchmark does not have cannot reach the
-threshold and are passed over, which loses nothing.
+SVD gives a latent space for each `SPACE` passages, so that a passage keeps
+nearly all of its length in its space however large the benchmark is: products
+with the passage table run on the executors, for many spaces at once, only the
+thin factors come to the driver.  Every window of every document (`WINDOW`
+words, half overlapping) is folded into each space and compared by cosine with
+its passages; windows whose weight lies mostly in words that the space does
+not have cannot reach the threshold and are passed over, which loses nothing.
 
 Candidates are then checked in the words themselves: the longest common
 subsequence of a passage and the window with its surroundings, each word
@@ -35,20 +36,24 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.session import cut, small_batches, spread
 
 WINDOW = 32
 RANK = 192
+#: Passages of a latent space: few enough that RANK keeps nearly all of their length.
+SPACE = 256
 COSINE = 0.45
-LEAST = 0.2
 COVER = 0.7
 COVER_ANSWER = 0.5
 SHORT = 8
-#: Items taken at once: bounds the vocabulary, the factor and the broadcast.
+#: Items and characters of a block, taken at once: bounds the vocabulary, the factors and the broadcast.
 BLOCK_ITEMS = 2000
+BLOCK_CHARS = 1 << 21
+#: Terms whose factors are computed at once.
+SVD_TERMS = 16384
 POWER_ROUNDS = 2
 OVERSAMPLE = 16
 _CLEAN = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256)).lower()
@@ -120,12 +125,22 @@ def document_frequencies(docs: DataFrame, index: dict[bytes, int]) -> tuple[np.n
 
 
 def randomised_svd(table: DataFrame, n_terms: int, rank: int, rounds: int = POWER_ROUNDS, seed: int = 17) -> np.ndarray:
-    """The leading right singular vectors (terms x rank) of a table of sparse rows (ids, weights).
+    """The leading right singular vectors (terms x rank) of a table of sparse rows (ids, weights)."""
+    return randomised_svds(table, [(n_terms, rank)], rounds, seed)[0]
+
+
+def randomised_svds(table: DataFrame, spaces: list[tuple[int, int]], rounds: int = POWER_ROUNDS, seed: int = 17) -> list[np.ndarray]:
+    """`randomised_svd` of each (n_terms, rank), whose rows and terms follow each other in one table.
 
     Each round is one pass: A'AQ is summed by term over the partitions.
     """
-    width = min(rank + OVERSAMPLE, n_terms)
-    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(n_terms, width)))[0]
+    widths = [min(rank + OVERSAMPLE, n) for n, rank in spaces]
+    edges = np.concatenate([[0], np.cumsum([n for n, _ in spaces])])
+    n_terms, width = int(edges[-1]), max(widths)
+    own = [(slice(edges[k], edges[k + 1]), slice(0, w)) for k, w in enumerate(widths)]
+    q = np.zeros((n_terms, width))
+    for at, (n, _), w in zip(own, spaces, widths, strict=True):
+        q[at] = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, w)))[0]
     columns = [f"c{i}" for i in range(width)]
     for _ in range(rounds):
         shared = table.sparkSession.sparkContext.broadcast(q)
@@ -145,12 +160,15 @@ def randomised_svd(table: DataFrame, n_terms: int, rank: int, rounds: int = POWE
         b = np.zeros((n_terms, width))
         if got.num_rows:
             b[got.column("term").to_numpy()] = np.stack([got.column(c).to_numpy() for c in columns], axis=1)
-        small = q.T @ b  # Q'A'AQ
-        q_next, r = np.linalg.qr(b)
-        last, q = (q, small), q_next
-    value, vector = np.linalg.eigh((last[1] + last[1].T) / 2)
-    order = np.argsort(-value)[:rank]
-    return last[0] @ vector[:, order]
+        small = [q[at].T @ b[at] for at in own]  # Q'A'AQ
+        last, q = q, np.zeros_like(q)
+        for at in own:
+            q[at] = np.linalg.qr(b[at])[0]
+    out = []
+    for at, m, (_, rank) in zip(own, small, spaces, strict=True):
+        value, vector = np.linalg.eigh((m + m.T) / 2)
+        out.append(last[at] @ vector[:, np.argsort(-value)[:rank]])
+    return out
 
 
 def covered(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> float:
@@ -169,13 +187,22 @@ def holds(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 @dataclass
-class Matcher:
-    items: Items
-    idf: np.ndarray  # the last entry stands for all words that the benchmark does not have
+class Space:
+    """The latent space of the passages from `start` on."""
+
+    start: int
+    rows: np.ndarray  # word -> row of folded; the last entry stands for all words that the benchmark does not have
     folded: np.ndarray  # terms x rank, times idf; the last row is zero
     latent: np.ndarray  # passages x rank, of unit length
     least: np.ndarray  # cosine that each passage asks for
 
+
+@dataclass
+class Matcher:
+    items: Items
+    idf: np.ndarray  # the last entry stands for all words that the benchmark does not have
+    spaces: list[Space]
+
     def match(self, texts: list[bytes | None]) -> list[list[tuple[int, float, float, bool, int]]]:
         """For each text the items it holds: (item_id, cosine, share, answer found, word)."""
         half, index = WINDOW // 2, self.items.index
@@ -191,36 +218,41 @@ class Matcher:
         doc_of = np.repeat(np.arange(len(docs)), halves)
         lo = np.arange(len(doc_of)) * half - np.repeat(np.cumsum(halves * half) - halves * half, halves) + base[doc_of]
         square = self.idf[tokens] ** 2
-        mass = np.add.reduceat(square, lo)
-        known = np.add.reduceat(np.where(tokens >= 0, square, 0.0), lo)
+        mass = np.append(np.add.reduceat(square, lo), 0.0)
         follows = np.append(doc_of[1:] == doc_of[:-1], False)
         alone = halves[doc_of] == 1
         first = np.flatnonzero(follows | alone)
         second = np.where(alone[first], len(doc_of), first + 1)
-        mass, known = np.append(mass, 0.0), np.append(known, 0.0)
         norm = np.maximum(mass[first] + mass[second], 1e-12)
-        floor = self.least.min() if len(self.least) else 2.0
-        go = known[first] + known[second] >= floor**2 * norm * 0.8  # less than 1: words may repeat
-        first, second, norm = first[go], second[go], np.sqrt(norm[go]).astype(np.float32)
         ends = np.append(lo[1:], len(tokens))
+        for space in self.spaces:
+            rows, none = space.rows[tokens], len(space.folded) - 1
+            known = np.append(np.add.reduceat(np.where(rows < none, square, 0.0), lo), 0.0)
+            go = known[first] + known[second] >= space.least.min() ** 2 * norm * 0.8  # less than 1: words may repeat
+            self._near(space, rows, lo, ends, first[go], second[go], np.sqrt(norm[go]).astype(np.float32), doc_of, base, sizes, found)
+        return [self._check(docs[d], c) if c else [] for d, c in enumerate(found)]
+
+    @staticmethod
+    def _near(space: Space, rows, lo, ends, first, second, norm, doc_of, base, sizes, found: list[list]) -> None:
+        """Adds to `found` the passages of a space that are near to the windows (first, second) of half windows."""
+        half = WINDOW // 2
         for i in range(0, len(first), _SLICE):
             f, g = first[i : i + _SLICE], second[i : i + _SLICE]
             need = np.unique(np.concatenate([f, g[g < len(doc_of)]]))
             length = ends[need] - lo[need]
             at = np.repeat(lo[need] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-            grid = np.full((len(need), half), len(self.folded) - 1, dtype=np.int64)  # the last row is zero
-            grid[np.repeat(np.arange(len(need)), length), np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)] = tokens[at]
-            x = np.zeros((len(need) + 1, self.folded.shape[1]), dtype=np.float32)
+            grid = np.full((len(need), half), len(space.folded) - 1, dtype=np.int64)  # the last row is zero
+            grid[np.repeat(np.arange(len(need)), length), np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)] = rows[at]
+            x = np.zeros((len(need) + 1, space.folded.shape[1]), dtype=np.float32)
             for k in range(half):
-                x[:-1] += self.folded.take(grid[:, k], axis=0)
+                x[:-1] += space.folded.take(grid[:, k], axis=0)
             sums = x[np.searchsorted(need, f)] + x[np.where(g < len(doc_of), np.searchsorted(need, g), len(need))]
             sums /= norm[i : i + _SLICE, None]
-            sims = sums @ self.latent.T
-            for r, p in zip(*np.nonzero(sims >= self.least), strict=True):
+            sims = sums @ space.latent.T
+            for r, p in zip(*np.nonzero(sims >= space.least), strict=True):
                 d = doc_of[f[r]]
                 start = int(lo[f[r]] - base[d])
-                found[d].append((float(sims[r, p]), int(p), start, min(start + WINDOW, int(sizes[d]))))
-        return [self._check(docs[d], c) if c else [] for d, c in enumerate(found)]
+                found[d].append((float(sims[r, p]), space.start + int(p), start, min(start + WINDOW, int(sizes[d]))))
 
     def _may_cover(self, p: int, region: set[int]) -> bool:
         """Words in any order bound what words in order can cover."""
@@ -263,7 +295,8 @@ def matchers(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: fl
     spark = docs.sparkSession
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"), answer.alias("answer"))
-    blocks = -(-items.count() // BLOCK_ITEMS)
+    n_items, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).head()
+    blocks = max(-(-n_items // BLOCK_ITEMS), -(-chars // BLOCK_CHARS))
     for k in range(blocks):
         some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         block = read_items([tuple(r) for r in some.collect()])
@@ -273,29 +306,54 @@ def matchers(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: fl
         idf = np.log((n + 1) / (df + 1)) + 0.05
         idf = np.append(idf, max(0.05, float(np.median(idf))))
 
-        def vectors(batches: Iterator[pa.RecordBatch], block=block, idf=idf) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids, weights = [], []
-                for p in batch.column(0).to_pylist():
-                    item, s, e = block.passages[p]
-                    t, c = np.unique(block.words[item][s:e], return_counts=True)
-                    w = c * idf[t]
-                    ids.append(t.tolist())
-                    weights.append((w / np.sqrt(w @ w)).tolist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], ["p", "ids", "weights"])
-
-        table = cut(spark.range(len(block.passages)).withColumnRenamed("id", "p").mapInArrow(vectors, "p long, ids array<int>, weights array<double>"), "decontam-passages")
-        v = randomised_svd(table, len(block.index), min(rank, len(block.index), len(block.passages)))
-        folded = np.vstack([v * idf[:-1, None], np.zeros((1, v.shape[1]))]).astype(np.float32)
-        latent, least = [], []
-        for item, s, e in block.passages:
-            x = folded[block.words[item][s:e]].sum(axis=0)
-            latent.append(x / max(float(np.linalg.norm(x)), 1e-12))
-            # What a copy keeps in the latent space, and what a short passage weighs in a window.
-            kept = float(np.linalg.norm(x)) / float(np.sqrt((idf[block.words[item][s:e]] ** 2).sum()))
-            own = cosine * min(1.0, kept) * np.sqrt(min(1.0, (e - s) / WINDOW))
-            least.append(own if e - s < SHORT else max(LEAST, own))
-        yield Matcher(block, idf, folded, np.array(latent, dtype=np.float32), np.array(least, dtype=np.float32))
+        yield Matcher(block, idf, latent_spaces(spark, block, idf, rank, cosine))
+
+
+def latent_spaces(spark: SparkSession, block: Items, idf: np.ndarray, rank: int, cosine: float) -> list[Space]:
+    """Spaces of at most `SPACE` passages that follow each other, over all passages of a block."""
+    n = -(-len(block.passages) // SPACE)
+    edges = np.linspace(0, len(block.passages), n + 1).astype(int)
+    terms = [np.unique(np.concatenate([block.words[item][s:e] for item, s, e in block.passages[a:b]])) for a, b in itertools.pairwise(edges)]
+    # Spaces whose factors are computed together, and where the terms of each begin among theirs.
+    group, offset, size = [], [], 0
+    for t in terms:
+        new = not group or size + len(t) > SVD_TERMS
+        group.append((group[-1] + new) if group else 0)
+        offset.append(0 if new else size)
+        size = offset[-1] + len(t)
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups, ids, weights = [], [], []
+            for p in batch.column(0).to_pylist():
+                item, s, e = block.passages[p]
+                t, c = np.unique(block.words[item][s:e], return_counts=True)
+                w = c * idf[t]
+                k = int(np.searchsorted(edges, p, side="right")) - 1
+                groups.append(group[k])
+                ids.append((offset[k] + np.searchsorted(terms[k], t)).tolist())
+                weights.append((w / np.sqrt(w @ w)).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], ["space", "ids", "weights"])
+
+    table = cut(spark.range(len(block.passages)).mapInArrow(vectors, "space int, ids array<int>, weights array<double>"), "decontam-passages")
+    out = []
+    for g in range(group[-1] + 1):
+        mine = [k for k in range(n) if group[k] == g]
+        factors = randomised_svds(table.where(F.col("space") == g), [(len(terms[k]), min(rank, len(terms[k]), int(edges[k + 1] - edges[k]))) for k in mine])
+        for k, v in zip(mine, factors, strict=True):
+            rows = np.full(len(idf), len(v), dtype=np.int32)
+            rows[terms[k]] = np.arange(len(v))
+            folded = np.vstack([v * idf[terms[k], None], np.zeros((1, v.shape[1]))]).astype(np.float32)
+            latent, least = [], []
+            for item, s, e in block.passages[edges[k] : edges[k + 1]]:
+                w = block.words[item][s:e]
+                x = folded[rows[w]].sum(axis=0)
+                latent.append(x / max(float(np.linalg.norm(x)), 1e-12))
+                # What a copy keeps in the latent space, and what a short passage weighs in a window.
+                kept = float(np.linalg.norm(x)) / float(np.sqrt((idf[w] ** 2).sum()))
+                least.append(cosine * min(1.0, kept) * np.sqrt(min(1.0, (e - s) / WINDOW)))
+            out.append(Space(int(edges[k]), rows, folded, np.array(latent, dtype=np.float32), np.array(least, dtype=np.float32)))
+    return out
 
 
 _SCHEMA = "doc_id long, item_id long, cosine double, share double, answer boolean, at_word int"

@@ -158,6 +158,22 @@ def test_benchmark_passages_are_found_and_clean_texts_are_left(spark):
     assert decontam.contaminated(docs_of(spark, []), bench).count() == 0
 
 
+def test_exact_copies_are_found_in_a_large_benchmark_of_long_items(spark):
+    rng = random.Random(14)
+    pool = prose(rng, 20_000, 20_000).split()
+    text = lambda n: [rng.choice(pool) for _ in range(n)]
+    items = [text(100) for _ in range(2000)]
+    rows = []
+    for i in range(300):
+        n = (100, 50)[i % 2]
+        at = rng.randrange(101 - n)
+        rows.append((i, " ".join(text(rng.randrange(60)) + items[i * 6][at : at + n] + text(rng.randrange(60))), "s"))
+    clean = [(1000 + i, " ".join(text(150)), "s") for i in range(100)]
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = [(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs_of(spark, rows + clean), bench).collect()]
+    assert Counter(got) == Counter((i, i * 6) for i, _, _ in rows)
+
+
 def test_answer_column_lowers_what_must_be_covered():
     a, b = np.arange(10), np.array([0, 1, 2, 99, 3, 98, 4, 97, 96, 95])
     weight = np.ones(100)
