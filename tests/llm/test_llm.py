@@ -129,6 +129,19 @@ def test_keep_one(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [3, 9, None]
 
 
+def test_graph_rounds_go_on_until_it_is_settled(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELL", 100)
+    x = np.random.default_rng(15).normal(size=(3000, 32)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "node long, vec binary").localCheckpoint()
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    best = np.argsort(-s, axis=1)[:, :20]
+    edges, _ = ann.build_graph(vectors, len(x), 32)
+    got = {(r["node"], r["other"]) for r in edges.collect()}
+    assert np.mean([(i, int(j)) in got for i in range(len(x)) for j in best[i]]) > 0.95
+
+
 # -- decontamination ---------------------------------------------------------
 
 
