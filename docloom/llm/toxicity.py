@@ -1,22 +1,26 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and their beginnings of 4, 5 and 6 bytes.  The vocabulary is
-what tells the labelled classes apart (chi-square and odds), idf is counted over all
-documents, and the labelled examples are a bounded sample: at most `EXAMPLES`
-of each class, by a hash of doc_id, each weighted by how many of its class it
-stands for.
-
-The examples form an inverted index whose lists are cut into blocks of
-`BLOCK`, with the largest weight of each term in each block.  A document sums
-those maxima to a bound for each block, takes blocks in descending order of
-bound, and stops when no further block can reach its k-th best: the nearest
-examples are exact, ties go to the smaller example number.  Their votes,
-weighted by squared cosine, are turned into a probability by isotonic
-regression on the examples' own leave-one-out votes.  The nearest examples are
-returned as evidence.
-
-Defined results: null and empty texts, and texts without any term of the
-vocabulary, score what such examples score; repeated labels of a document
+Terms are words; every word of the examples is one.  A term weighs
+(1 + ln tf) * idf * telling: idf is counted over all documents, and `telling`
+(from `FLOOR` to 1) says how far the term tells the labelled classes apart, by
+chi-square and odds.  No term is left out: words that tell little, and words
+that no example has, weigh at least `FLOOR` of their idf and lengthen the
+vector of a text.  The labelled examples are a bounded sample: at most
+`EXAMPLES` of each class, by a hash of doc_id, each weighted by how many of its
+class it stands for.
+
+The examples form an inverted index.  The lists of rare terms are added up
+whole; those of frequent terms (`FREQUENT` examples or more) are cut into
+blocks of `BLOCK` examples with their largest weight, and give each example a
+bound.  Examples are taken in descending order of bound, with their exact
+cosines, until no further one can reach the k-th best: the nearest examples
+are exact, ties go to the smaller example number.  Their votes, weighted by
+squared cosine, are turned into a probability by isotonic regression on the
+examples' own leave-one-out votes.  The nearest examples are returned as
+evidence.
+
+Defined results: null and empty texts, and texts that share no word with an
+example, score what such examples score; repeated labels of a document
 count once, as toxic if any is; labels that are null or of unknown documents
 are ignored; without labels of both classes every score is the toxic share (0
 if there is none); a null doc_id counts as not held out; repeated rows are scored each on its own; an empty table
@@ -37,46 +41,21 @@ from pyspark.sql import functions as F
 from docloom.session import cut, small_batches, spread
 
 EXAMPLES = 4096
-VOCABULARY = 2048
 BLOCK = 64
+FREQUENT = 1024
 NEAREST = 16
-#: The cut of `predicted`; the chi-square, and the ratio of the classes' shares, that a term must reach.
+#: The cut of `predicted`; the least `telling`; the chi-square at which it is a half; the prior's weight in a vote.
 CUT = 0.3
-CHI2 = 20.0
-ODDS = 3.0
-PREFIXES = (4, 5, 6)
+FLOOR = 0.02
+CHI2 = 40.0
+PRIOR = 0.5
 _CLEAN = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256)).lower()
-_FLUSH = 1 << 18
 
 
 def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_CLEAN).split()
 
 
-def terms(word: bytes) -> list[bytes]:
-    return [word] + [b"^" + word[:n] for n in PREFIXES if len(word) > n]
-
-
-@dataclass
-class Vocabulary:
-    index: dict[bytes, int]
-    _seen: dict[bytes, tuple[int, ...]] = field(default_factory=dict)
-
-    def counts(self, text: bytes | None) -> Counter:
-        """Term number -> occurrences in a whole text."""
-        out: Counter = Counter()
-        seen = self._seen
-        for w, n in Counter(words(text)).items():
-            ids = seen.get(w)
-            if ids is None:
-                if len(seen) > _FLUSH:
-                    seen.clear()
-                ids = seen[w] = tuple(self.index[t] for t in terms(w) if t in self.index)
-            for i in ids:
-                out[i] += n
-        return out
-
-
 def train_fold(doc_id) -> object:
     """Rows that labels may be learnt from."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) != 2, F.lit(True))
@@ -91,61 +70,105 @@ def sample_labels(labels: DataFrame, per_class: int = EXAMPLES) -> tuple[DataFra
     return cut(some[0].unionByName(some[1]), "toxicity-sample"), sizes
 
 
-def select_terms(examples: DataFrame, n: tuple[int, int], size: int = VOCABULARY, least: float = CHI2) -> list[bytes]:
-    """The terms of the largest chi-square between the classes, of examples (doc_id, toxic, text)."""
+def telling(a: np.ndarray, b: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """How far terms tell the classes apart, that a of n0 and b of n1 examples hold: from `FLOOR` to 1."""
+    n, share = n0 + n1, n1 / (n0 + n1)
+    expected = (a + b) * share
+    off = np.maximum(0.0, np.abs(b - expected) - 0.5)
+    chi2 = off * off / np.maximum(expected * (1 - share) * np.maximum(1 - (a + b) / n, 1e-3), 1e-9)
+    odds = np.abs(np.log((b + 0.5) / (n1 + 1)) - np.log((a + 0.5) / (n0 + 1)))
+    return np.maximum(FLOOR, chi2 / (chi2 + CHI2) * -np.expm1(-odds))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, list[int]] = {}
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], pa.int64())], ["term", "n0", "n1"])
 
-        for batch in batches:
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for t in {t for w in set(words(text.as_py())) for t in terms(w)}:
-                    held.setdefault(t, [0, 0])[toxic] += 1
-                if len(held) > _FLUSH:
-                    yield out()
-                    held.clear()
-        yield out()
-
-    c = examples.select("toxic", F.col("text").cast("binary").alias("text")).mapInArrow(count, "term binary, n0 long, n1 long")
-    c = c.groupBy("term").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b")).where(F.col("a") + F.col("b") >= 3)
-    n0, n1 = (float(x) for x in n)
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    det = a * (n1 - b) - b * (n0 - a)
-    chi2 = (n0 + n1) * det * det / (n0 * n1 * (a + b) * F.greatest(F.lit(1e-9), F.lit(n0 + n1) - a - b))
-    odds = ((b + 1) / (n1 + 2)) / ((a + 1) / (n0 + 2))
-    apart = (odds >= ODDS) | (odds <= 1 / ODDS)  # else long and short documents would tell the classes apart
-    top = c.withColumn("chi2", chi2).where((F.col("chi2") >= least) & apart).orderBy(F.desc("chi2"), "term").limit(size)
-    return [bytes(r["term"]) for r in top.collect()]
-
-
-def document_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
-    """Over all documents: how many hold each term; how many there are."""
+def document_frequencies(docs: DataFrame, index: dict[bytes, int]) -> tuple[np.ndarray, int]:
+    """Over all documents: how many hold each word of `index`; how many there are."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(vocabulary.index) + 1, dtype=np.int64), 0
+        index, n = shared.value, 0
+        df = np.zeros(len(index) + 1, dtype=np.int64)
         for batch in batches:
             n += batch.num_rows
             for text in batch.column(0):
-                ids = list(vocabulary.counts(text.as_py()))
-                df[ids] += 1
+                df[[index[w] for w in index.keys() & set(words(text.as_py()))]] += 1
         df[-1] = n
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], ["term", "n"])
 
-    rows = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(len(vocabulary.index) + 1)
-    for r in rows:
-        df[r["term"]] = r["n"]
+    got = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(index) + 1)
+    df[got.column("term").to_numpy()] = got.column("n").to_numpy()
     return df[:-1], int(df[-1])
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of every range, one range after another."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+@dataclass
+class Index:
+    """Inverted lists of examples given as (terms, weights) of each."""
+
+    n: int
+    start: np.ndarray  # of each term's list
+    size: np.ndarray
+    example: np.ndarray  # the lists
+    weight: np.ndarray
+    row: np.ndarray  # of a frequent term among the block maxima; -1: rare
+    most: np.ndarray  # block maxima of the frequent terms
+    own_start: np.ndarray  # of each example's frequent terms
+    own_size: np.ndarray
+    own_row: np.ndarray
+    own_weight: np.ndarray
+
+    @classmethod
+    def of(cls, sparse: list[tuple[np.ndarray, np.ndarray]], n_terms: int, frequent: int = FREQUENT) -> Index:
+        sizes = np.array([len(t) for t, _ in sparse], dtype=np.int64)
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in sparse)])
+        weight = np.concatenate([np.zeros(0), *(w for _, w in sparse)])
+        example = np.repeat(np.arange(len(sparse)), sizes)
+        size = np.bincount(term, minlength=n_terms)
+        row = np.where(size >= frequent, np.cumsum(size >= frequent) - 1, -1)
+        often = row[term] >= 0
+        most = np.zeros((int((row >= 0).sum()), -(-max(1, len(sparse)) // BLOCK)))
+        np.maximum.at(most, (row[term[often]], example[often] // BLOCK), weight[often])
+        own = np.bincount(example[often], minlength=len(sparse))
+        order = np.argsort(term, kind="stable")
+        return cls(len(sparse), np.cumsum(size) - size, size, example[order], weight[order], row, most, np.cumsum(own) - own, own, row[term[often]], weight[often])
+
+    def nearest(self, ids: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Example numbers and cosines of the k nearest that share a term."""
+        row = self.row[ids]
+        rare, often = ids[row < 0], row[row >= 0]
+        at = _ranges(self.start[rare], self.size[rare])
+        part = np.bincount(self.example[at], np.repeat(w[row < 0], self.size[rare]) * self.weight[at], self.n)
+        bound = part + np.repeat(w[row >= 0] @ self.most[often], BLOCK)[: self.n]
+        if skip >= 0:
+            bound[skip] = 0.0
+        query = np.zeros(len(self.most))
+        query[often] = w[row >= 0]
+        near, sims, step = np.zeros(0, dtype=np.int64), np.zeros(0), 4 * k
+        left = np.flatnonzero(bound > 0)
+        while len(left):
+            # Those of the largest bounds first; all that share the last of them go along.
+            now = bound[left] >= (np.partition(bound[left], len(left) - step)[len(left) - step] if len(left) > step else 0.0)
+            e, left = left[now], left[~now]
+            at = _ranges(self.own_start[e], self.own_size[e])
+            s = part[e] + np.bincount(np.repeat(np.arange(len(e)), self.own_size[e]), query[self.own_row[at]] * self.own_weight[at], len(e))
+            near, sims = np.concatenate([near, e[s > 0]]), np.concatenate([sims, s[s > 0]])
+            best = np.lexsort((near, -sims))[:k]
+            near, sims, step = near[best], sims[best], step * 2
+            if len(near) == k:
+                left = left[bound[left] >= sims[-1] - 1e-12]
+        return near, sims
+
+
 @dataclass
 class Model:
-    vocabulary: Vocabulary
-    idf: np.ndarray
+    terms: dict[bytes, int]
+    weights: np.ndarray  # idf * telling of each term
+    unknown: float  # the same of words that no example has: as if in one document
     ids: np.ndarray  # of the examples
     toxic: np.ndarray
     stands_for: np.ndarray
@@ -154,60 +177,32 @@ class Model:
     prior: float = 0.0
     steps: tuple[np.ndarray, np.ndarray] | None = None  # the isotonic map
     empty_score: float = 0.0
-    _lists: tuple | None = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"_lists": None}
-
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and weights of unit length."""
-        ids = np.fromiter(sorted(counts), dtype=np.int64, count=len(counts))
-        w = np.array([1 + np.log(counts[i]) for i in ids.tolist()], dtype=np.float64) * self.idf[ids]
-        return ids, w / max(np.sqrt(w @ w), 1e-300)
-
-    def lists(self) -> tuple[np.ndarray, np.ndarray]:
-        """Inverted lists (a row a term) and their block maxima."""
-        if self._lists is None:
-            n = -(-max(1, len(self.ids)) // BLOCK) * BLOCK
-            full = np.zeros((len(self.idf), n), dtype=np.float32)
-            for e, (t, w) in enumerate(self.sparse):
-                full[t, e] = w
-            self._lists = full, full.reshape(len(full), -1, BLOCK).max(axis=2)
-        return self._lists
+    index: Index | None = field(default=None)
+
+    def vector(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and weights of a whole text's terms; of unit length together with the words that are no terms."""
+        counts = Counter(words(text))
+        ids = np.fromiter((self.terms.get(w, -1) for w in counts), dtype=np.int64, count=len(counts))
+        tf = 1 + np.log(np.fromiter(counts.values(), dtype=np.float64, count=len(counts)))
+        w = tf * np.where(ids >= 0, self.weights[ids], self.unknown) if len(self.weights) else tf
+        order = np.argsort(ids, kind="stable")
+        order = order[np.searchsorted(ids[order], 0) :]
+        return ids[order], w[order] / max(np.sqrt(w @ w), 1e-300)
 
     def nearest(self, ids: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Example numbers and cosines of the k nearest that share a term."""
-        full, most = self.lists()
-        w = w.astype(np.float32)
-        bound = w @ most[ids]
-        order = np.argsort(-bound, kind="stable")
-        at, sims = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32)
-        done, step = 0, 4
-        while done < len(order):
-            kth = sims[self.k - 1] if len(sims) >= self.k else 1e-9
-            if bound[order[done]] < kth - 1e-6:
-                break
-            blocks = np.sort(order[done : done + step])
-            blocks = blocks[bound[blocks] > 0]
-            done, step = done + step, step * 2
-            if not len(blocks):
-                break
-            e = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            s = w @ full[np.ix_(ids, e)]
-            ok = (s > 0) & (e != skip)
-            at, sims = np.concatenate([at, e[ok]]), np.concatenate([sims, s[ok]])
-            best = np.lexsort((at, -sims))[: self.k]
-            at, sims = at[best], sims[best]
-        return at, sims
+        if self.index is None:
+            self.index = Index.of(self.sparse, len(self.weights))
+        return self.index.nearest(ids, w, self.k, skip)
 
     def vote(self, at: np.ndarray, sims: np.ndarray) -> float:
-        """The toxic share among the nearest, with one vote of the prior at a low weight."""
-        w = sims.astype(np.float64) ** 2 * self.stands_for[at]
+        """The toxic share among the nearest, with one vote of the prior."""
+        w = sims**2 * self.stands_for[at] / max(1.0, float(self.stands_for.min()))
         yes = float(w @ self.toxic[at])
-        return (yes + 0.05 * self.prior) / (float(w.sum()) + 0.05)
+        return (yes + PRIOR * self.prior) / (float(w.sum()) + PRIOR)
 
     def calibrate(self) -> None:
-        votes = np.array([self.vote(*self.nearest(*v, skip=e)) if len(v[0]) else -1.0 for e, v in enumerate(self.sparse)])
+        near = [self.nearest(*v, skip=e) for e, v in enumerate(self.sparse)]
+        votes = np.array([self.vote(*x) if len(x[0]) else -1.0 for x in near])
         none = votes < 0
         share = lambda m, base: float((self.stands_for[m] @ self.toxic[m] + base) / (self.stands_for[m].sum() + 1))
         self.empty_score = share(none, self.prior)
@@ -223,49 +218,52 @@ class Model:
             self.steps = np.array([e for p in pools for e in (p[2], p[3])]), np.array([p[0] for p in pools for _ in (0, 1)])
 
     def score(self, text: bytes | None) -> tuple[float, np.ndarray, np.ndarray]:
-        ids, w = self.vector(self.vocabulary.counts(text))
-        if not len(ids) or self.steps is None:
-            return self.empty_score, np.zeros(0, dtype=np.int64), np.zeros(0)
-        at, sims = self.nearest(ids, w)
-        if not len(at):
-            return self.empty_score, at, sims
-        return float(np.interp(self.vote(at, sims), *self.steps)), at, sims
+        ids, w = self.vector(text)
+        at, sims = self.nearest(ids, w) if len(ids) and self.steps is not None else (np.zeros(0, dtype=np.int64), np.zeros(0))
+        return float(np.interp(self.vote(at, sims), *self.steps)) if len(at) else self.empty_score, at, sims
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES, vocabulary: int = VOCABULARY, k: int = NEAREST) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES, k: int = NEAREST) -> Model:
     """The index over a bounded sample of `labels`, with statistics of all `docs`."""
     small_batches(docs.sparkSession)
     sample, sizes = sample_labels(labels, per_class)
     prior = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    examples = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(sample), "doc_id")
-    examples = cut(examples, "toxicity-examples")
-    n = {r["toxic"]: r["count"] for r in examples.groupBy("toxic").count().collect()}
-    model = Model(Vocabulary({}), np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0), [], k, prior, None, prior)
-    if len(n) < 2:
-        return model
-    chosen = select_terms(examples, (n[0], n[1]), vocabulary)
-    model.vocabulary = Vocabulary({t: i for i, t in enumerate(chosen)})
-    df, total = document_frequencies(docs, model.vocabulary)
-    model.idf = np.log((total + 1) / (df + 1)) + 1
-
-    voc = model.vocabulary
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = [sorted(voc.counts(t.as_py()).items()) for t in batch.column(2)]
-            cols = [pa.array([[p[i] for p in x] for x in c], pa.list_(pa.int32())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "toxic", "ids", "n"])
+            c = [sorted(Counter(words(t.as_py())).items()) for t in batch.column(2)]
+            cols = [pa.array([[p[i] for p in x] for x in c], pa.list_(kind)) for i, kind in ((0, pa.binary()), (1, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "toxic", "words", "n"])
 
-    rows = examples.select("doc_id", "toxic", "text").mapInArrow(reduce, "doc_id long, toxic int, ids array<int>, n array<int>").collect()
-    unique = {r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], r["ids"], r["n"]))}
-    vectors = {i: model.vector(Counter(dict(zip(r["ids"], r["n"], strict=True)))) for i, r in unique.items()}
+    examples = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(sample), "doc_id")
+    examples = examples.select(F.col("doc_id").cast("long"), "toxic", "text").mapInArrow(reduce, "doc_id long, toxic int, words array<binary>, n array<int>")
+    # Of rows that repeat a doc_id one counts.
+    examples = examples.groupBy("doc_id", "toxic").agg(F.min(F.struct("words", "n")).alias("x")).select("doc_id", "toxic", "x.words", "x.n")
+    got = examples.orderBy("doc_id").toArrow()
+    toxic = got.column("toxic").to_numpy().astype(float)
+    empty = Model({}, np.zeros(0), 0.0, np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0), [], k, prior, None, prior)
+    if not 0 < toxic.sum() < len(toxic):
+        return empty
+    lists = got.column("words").combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    term, size = coded.indices.to_numpy().astype(np.int64), lists.value_lengths().to_numpy()
+    tf = 1 + np.log(got.column("n").combine_chunks().flatten().to_numpy())
+    index = {w: i for i, w in enumerate(coded.dictionary.to_pylist())}
+    df, total = document_frequencies(docs, index)
+    held = [np.bincount(term, np.repeat(toxic == c, size), len(index)) for c in (0, 1)]
+    weights = (np.log((total + 1) / (df + 1)) + 1) * telling(*held, int((toxic == 0).sum()), int(toxic.sum()))
+    sparse = []
+    for ids, n in zip(np.split(term, np.cumsum(size)[:-1]), np.split(tf, np.cumsum(size)[:-1]), strict=True):
+        w = n * weights[ids]
+        order = np.argsort(ids)
+        sparse.append((ids[order], w[order] / max(np.sqrt(w @ w), 1e-300)))
     # Examples that share their weightiest term lie together, so that blocks have telling maxima.
-    first = lambda i: int(vectors[i][0][vectors[i][1].argmax()]) if len(vectors[i][0]) else -1
-    order = sorted(unique, key=lambda i: (unique[i]["toxic"], first(i), i))
-    model.ids = np.array(order, dtype=np.int64)
-    model.toxic = np.array([unique[i]["toxic"] for i in order], dtype=float)
-    model.stands_for = np.where(model.toxic == 1, sizes[1] / max(1, (model.toxic == 1).sum()), sizes[0] / max(1, (model.toxic == 0).sum()))
-    model.sparse = [vectors[i] for i in order]
+    first = np.array([ids[w.argmax()] if len(ids) else -1 for ids, w in sparse])
+    order = np.lexsort((np.arange(len(first)), first, toxic))
+    toxic = toxic[order]
+    stands_for = np.where(toxic == 1, sizes[1] / toxic.sum(), sizes[0] / (toxic == 0).sum())
+    unknown = (np.log((total + 1) / 2) + 1) * FLOOR
+    model = Model(index, weights, unknown, got.column("doc_id").to_numpy()[order], toxic, stands_for, [sparse[i] for i in order], k, prior)
     model.calibrate()
     return model
 

@@ -129,19 +129,6 @@ def test_keep_one(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [3, 9, None]
 
 
-def test_graph_rounds_go_on_until_it_is_settled(spark, monkeypatch):
-    monkeypatch.setattr(ann, "CELL", 100)
-    x = np.random.default_rng(15).normal(size=(3000, 32)).astype(np.float32)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    vectors = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "node long, vec binary").localCheckpoint()
-    s = x @ x.T
-    np.fill_diagonal(s, -np.inf)
-    best = np.argsort(-s, axis=1)[:, :20]
-    edges, _ = ann.build_graph(vectors, len(x), 32)
-    got = {(r["node"], r["other"]) for r in edges.collect()}
-    assert np.mean([(i, int(j)) in got for i in range(len(x)) for j in best[i]]) > 0.95
-
-
 # -- decontamination ---------------------------------------------------------
 
 
@@ -241,16 +228,49 @@ def test_block_max_search_is_exact():
     for r in dense:
         at = np.flatnonzero(r)
         sparse.append((at, r[at] / max(np.linalg.norm(r), 1e-9)))
-    m = toxicity.Model(toxicity.Vocabulary({}), np.ones(v), np.arange(n), np.zeros(n), np.ones(n), sparse, 10)
-    full = m.lists()[0]
-    for _ in range(50):
-        q = np.where(rng.random(v) < 0.15, rng.random(v), 0)
-        ids = np.flatnonzero(q)
-        w = (q[ids] / max(np.linalg.norm(q), 1e-9)).astype(np.float32)
-        sims = w @ full[ids][:, :n]
-        want = [i for i in np.lexsort((np.arange(n), -sims))[:10] if sims[i] > 0]
-        at, got = m.nearest(ids, w)
-        assert np.allclose(got, sims[want], atol=1e-5) and len(at) == len(want)
+    full = np.zeros((v, n))
+    for e, (t, w) in enumerate(sparse):
+        full[t, e] = w
+    for frequent in (1, 45, 50, 1000):
+        index = toxicity.Index.of(sparse, v, frequent)
+        for _ in range(30):
+            q = np.where(rng.random(v) < 0.15, rng.random(v), 0)
+            ids = np.flatnonzero(q)
+            w = q[ids] / max(np.linalg.norm(q), 1e-9)
+            sims = w @ full[ids]
+            want = [i for i in np.lexsort((np.arange(n), -sims))[:10] if sims[i] > 0]
+            at, got = index.nearest(ids, w, 10)
+            assert np.allclose(got, sims[want], atol=1e-9) and len(at) == len(want)
+
+
+def test_evidence_equals_brute_force_over_all_terms(spark):
+    rng = random.Random(16)
+    rows = [(i, prose(rng, rng.randrange(0, 40), 80) + (" vile" if i % 4 == 0 else ""), "s") for i in range(150)]
+    table = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(100)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score(docs_of(spark, rows), table, evidence=16).collect()}
+    bags = {i: Counter(t.lower().split()) for i, t, _ in rows}
+    df = Counter(w for b in bags.values() for w in b)
+    examples = [i for i in range(100) if crc32(str(i).encode()) % 4 != 2]
+    held = {c: Counter(w for i in examples if (i % 4 == 0) == c for w in bags[i]) for c in (0, 1)}
+    sizes = {c: sum((i % 4 == 0) == c for i in examples) for c in (0, 1)}
+
+    def weight(w):
+        idf = math.log((len(rows) + 1) / (df[w] + 1)) + 1
+        if not held[0][w] + held[1][w]:
+            return (math.log((len(rows) + 1) / 2) + 1) * toxicity.FLOOR
+        return idf * float(toxicity.telling(np.array([held[0][w]]), np.array([held[1][w]]), sizes[0], sizes[1])[0])
+
+    def unit(b):
+        x = {w: (1 + math.log(n)) * weight(w) for w, n in b.items()}
+        z = math.sqrt(sum(v * v for v in x.values())) or 1
+        return {w: v / z for w, v in x.items()}
+
+    units = {i: unit(b) for i, b in bags.items()}
+    for i, _, _ in rows:
+        sims = sorted((s for e in examples if (s := sum(v * units[e].get(w, 0) for w, v in units[i].items())) > 0), reverse=True)[:16]
+        assert np.allclose(sims, got[i]["cosines"], atol=1e-9)
+        for e, s in zip(got[i]["evidence"], got[i]["cosines"], strict=True):
+            assert sum(v * units[e].get(w, 0) for w, v in units[i].items()) == pytest.approx(s)
 
 
 # -- personal data -----------------------------------------------------------
@@ -423,3 +443,50 @@ def test_recall_ties_and_rows_that_take_no_part(spark):
     assert ann.nearest(table.limit(0)).count() == 0
     few = ann.nearest(table.where("vec_id in (20, 21, 22)")).collect()
     assert sorted(r["vec_id"] for r in few) == [21, 22]
+
+
+def unit_rows(n, dim, seed):
+    x = np.random.default_rng(seed).normal(size=(n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def recall(got, x, every=20):
+    by = {}
+    for r in got:
+        by.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = []
+    for q in range(0, len(x), every):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits.append(len(by[q] & set(np.argsort(-s)[:20].tolist())) / 20)
+    return np.mean(hits)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e100, 1e-100])
+def test_recall_over_many_cells_and_parts_at_any_scale(spark, scale):
+    x = unit_rows(3000, 32, 15) * scale
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = ann.nearest(table, ef=96, cell=100, trees=3, part=200, most=2000).collect()
+    assert recall(got, x / scale) > 0.95
+
+
+def test_graph_rounds_go_on_until_it_is_settled(spark):
+    x = unit_rows(3000, 32, 15)
+    nodes = spark.createDataFrame([(i, v.astype("<f8").tobytes()) for i, v in enumerate(x)], "node long, vec binary")
+    vectors = ann.as_vectors(nodes, 1.0, 15)
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    best = np.argsort(-s, axis=1)[:, :20]
+    edges = ann.build_graph(vectors, len(x), 32, 15, cell=100, trees=2)
+    got = {r["node"]: set(r["others"]) for r in edges.collect()}
+    assert np.mean([int(j) in got[i] for i in range(len(x)) for j in best[i]]) > 0.95
+
+
+def test_lengths_and_hubs(spark):
+    x = unit_rows(800, 16, 17) * np.random.default_rng(18).lognormal(0, 3, 800)[:, None]
+    rows = [(i, v) for i, v in enumerate(x.tolist())] + [(2000 + 20 * i, [float(i + 1), 1.0, 2.0]) for i in range(30)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(table, cell=100, trees=3, part=100).collect()
+    assert recall([r for r in got if r["query_id"] < 800], x) > 0.9
+    short = [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 2000]
+    assert short == [2000 + 20 * i for i in range(29, 9, -1)]
