@@ -1,24 +1,33 @@
 """Main text of web pages by equivalence-class template deduction.
 
 Every page is parsed once into block tags with their paths and blocks of text.
-For each host, tokens (a tag with its path) get an occurrence vector over the
-host's pages, kept as a fingerprint: the sums of count times two hashes of the
-page, which add up in any order and so need no page gathered with another.
+For each host, tokens (a tag with its path, ids and classes included) get an
+occurrence vector over the host's pages, kept as a fingerprint: the number of
+pages and of occurrences, and the exclusive or of a hash of page and count,
+which add up in any order and so need no page gathered with another.
 Tokens of equal fingerprint form an equivalence class.  A class is valid if
 it is on at least half of the host's pages, once a page, with two members or
 more; the valid classes' paths nest into the host's template.  What lies
 below a template tag and is no template tag itself is a slot; each slot's text
 and link text are summed over the host, and the slot that holds most text
-beyond its links, outside what is never content (navigation, footers, asides,
-forms, adverts, notices, comments ...), is where the host keeps its articles.
-Its enclosing <article> or <main>, if there is one, is taken whole.
+beyond its links is where the host keeps its articles.  Its enclosing
+<article> or <main>, if there is one, is taken whole.
 
-A page that lacks that container gives the blocks of its own <article> or
-<main>, else all blocks that are not excluded.  Nothing within the container
-is dropped for being repeated on other pages.
+Never content are only elements and roles that mean something else (navigation,
+footers, asides, forms, dialogs, hidden parts, headers outside an article), and
+elements one of whose ids or classes says so with every one of its words
+("ad", "cookie-notice", "comments"; not "share-price" or "comment-body").
+Outside <article> and <main>, a class or id that says so with some of its
+words only (`_weak`) is a last vote: such text counts a quarter when slots are
+weighed, and is left out of a page whose host has no slot for it.
 
-Host groups are only ever sums by path and a join on the host that can be
-split, so one host may hold any share of the pages.
+A page that lacks the host's container gives the blocks of its own <article>
+or <main>, else all blocks that are not excluded or voted out.  Nothing within
+the container is dropped for being repeated on other pages.
+
+Host groups are only ever aggregates by path and a join on the host that can be
+split, so one host may hold any share of the pages.  Markup may nest to any
+depth: paths beyond `DEPTH` levels end in a hash of the deeper ones.
 
 Defined results: null and empty html give an empty text; a null url counts as
 the host ""; markup that is cut off is read to its end; repeated rows keep a
@@ -43,7 +52,7 @@ from docloom.session import cut, small_batches, spread
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 BLOCKS = frozenset("html body head address article aside blockquote caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-#: Never content: elements, roles, and words of a class or id.
+#: Never content: elements, roles, and words that a class or id is made of.
 NOT_CONTENT = frozenset("head title script style noscript template nav footer aside form button select option textarea input iframe object embed canvas svg dialog menu datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary dialog search alert menu menubar toolbar form".split())
 WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup related respond share sharing sidebar social subscribe subscription toolbar widget".split())
@@ -54,9 +63,10 @@ _ENDS |= {t: ("p",) for t in BLOCKS if t not in _ENDS and t not in ("html", "bod
 _SCOPE = frozenset("html body table td th article main section div nav footer aside header ul ol dl".split())
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_TOKEN = re.compile(r"[a-zA-Z]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _QUOTE = re.compile("[\"'>]")
-DEPTH = 256
+#: Levels of a path that are written out.
+DEPTH = 64
 
 
 def _tag_end(s: str, at: int) -> int:
@@ -72,11 +82,25 @@ def _tag_end(s: str, at: int) -> int:
     return -1
 
 
-def parse(s: str) -> tuple[dict[str, int], list[tuple[str, str, int]]]:
-    """Block tags (path -> occurrences), and blocks of text that are not excluded: (path, text, link characters)."""
+def says_no(label: str) -> tuple[bool, bool]:
+    """Whether all, and whether some, words of an id or class are of what is never content."""
+    words = [w.lower() for w in _WORD.findall(label)]
+    known = [w in WORDS for w in words]
+    return bool(words) and all(known), any(known)
+
+
+def below(path: str, label: str, level: int) -> str:
+    if level <= DEPTH:
+        return f"{path}/{label}"
+    head, _, deep = path.partition("/~")
+    return f"{head}/~{crc32(f'{deep}/{label}'.encode()):08x}"
+
+
+def parse(s: str) -> tuple[dict[str, int], list[tuple[str, str, str, int, bool]]]:
+    """Block tags (path -> occurrences), and blocks of text that are not excluded: (path, container, text, link characters, weak)."""
     tags: dict[str, int] = {}
-    blocks: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]  # name, path, excluded, link, inside a container
+    blocks: list[tuple[str, str, str, int, bool]] = []
+    stack: list[tuple[str, str, bool, bool, str, bool]] = [("", "", False, False, "", False)]  # name, path, excluded, link, container, weak
     run: list[str] = []
     links = 0
 
@@ -85,7 +109,7 @@ def parse(s: str) -> tuple[dict[str, int], list[tuple[str, str, int]]]:
         if run:
             text = " ".join("".join(run).split())
             if text:
-                blocks.append((path, text, links))
+                blocks.append((path, stack[-1][4], text, links, stack[-1][5]))
             run.clear()
         links = 0
 
@@ -151,22 +175,23 @@ def parse(s: str) -> tuple[dict[str, int], list[tuple[str, str, int]]]:
                     break
         raw = s[m.end() : end]
         label, bad = name, name in NOT_CONTENT
-        _, path, excluded, link, inside = stack[-1]
+        _, path, excluded, link, container, weak = stack[-1]
         if raw.strip(" /\n\t\r"):
             attrs = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTR.finditer(raw)}
-            words = [w.lower() for key in ("id", "class") for w in _TOKEN.findall(attrs.get(key, ""))]
-            if name not in ("html", "body", *CONTAINERS):
-                own = [w for w in words if w in WORDS]
-                bad = bad or bool(own) and not (inside and own == ["header"])
-            elif name == "article":
-                bad = bad or any(w in ("comment", "comments") for w in words)
+            names = [*attrs.get("id", "").split(), *attrs.get("class", "").split()]
+            said = [says_no(x) for x in names] if name not in ("html", "body", "main") else []
+            if name == "article" or container and name == "header":  # an article that is a comment; not the article's own header
+                said = [(all_ and "comment" in x.lower(), False) for x, (all_, _) in zip(names, said, strict=True)]
+            bad = bad or any(x for x, _ in said)
+            weak = weak or not container and any(x for _, x in said)
             bad = bad or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"
+            words = [w.lower() for x in names for w in _WORD.findall(x)]
             if words and is_block:
-                label += "." + ".".join(words[:4])
-        if name == "header" and not inside:
+                label += "." + ".".join(words)
+        if name == "header" and not container:
             bad = True
         if is_block:
-            path = f"{path}/{label}" if len(stack) < DEPTH else path
+            path = below(path, label, len(stack))
             tags[path] = tags.get(path, 0) + 1
         if name in VOID:
             continue
@@ -178,40 +203,28 @@ def parse(s: str) -> tuple[dict[str, int], list[tuple[str, str, int]]]:
             stop = s.find(">", body_end) if close else -1
             at = stop + 1 if stop >= 0 else n
             continue
-        if len(stack) < DEPTH:
-            stack.append((name, path, excluded or bad, link or name == "a", inside or name in CONTAINERS))
+        stack.append((name, path, excluded or bad, link or name == "a", container or (path if name in CONTAINERS else ""), weak))
     flush(block_path())
     return tags, blocks
 
 
-def container_of(path: str) -> str:
-    """The path up to its outermost <article> or <main>; empty if it has none."""
-    parts = path.split("/")
-    for i, p in enumerate(parts):
-        if p.split(".", 1)[0] in CONTAINERS:
-            return "/".join(parts[: i + 1])
-    return ""
-
-
-_PARSED = "page_id long, url string, host string, blocks array<struct<path:string,container:string,text:string,links:int>>, tags array<struct<path:string,n:int>>, r1 long, r2 long"
+_PARSED = "page_id long, url string, host string, blocks array<struct<path:string,container:string,text:string,links:int,weak:boolean>>, tags array<struct<path:string,n:int>>"
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = pa.list_(pa.struct([("path", pa.string()), ("container", pa.string()), ("text", pa.string()), ("links", pa.int32())]))
+        names = ("path", "container", "text", "links", "weak")
+        block = pa.list_(pa.struct(list(zip(names, (pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_()), strict=True))))
         tag = pa.list_(pa.struct([("path", pa.string()), ("n", pa.int32())]))
         for batch in batches:
-            hosts, blocks, tags, r1, r2 = [], [], [], [], []
-            for page, url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            hosts, blocks, tags = [], [], []
+            for url, source in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 t, b = parse(source.as_py() or "")
                 hosts.append(split_url(url)[0])
-                blocks.append([{"path": p, "container": container_of(p), "text": x, "links": k} for p, x, k in b])
+                blocks.append([dict(zip(names, x, strict=True)) for x in b])
                 tags.append([{"path": p, "n": k} for p, k in t.items()])
-                key = f"{page}:{url}".encode()
-                r1.append(crc32(key) >> 1)
-                r2.append(crc32(key[::-1], 0x5BD1) >> 1)
-            cols = [batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(blocks, block), pa.array(tags, tag), pa.array(r1, pa.int64()), pa.array(r2, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "host", "blocks", "tags", "r1", "r2"])
+            cols = [batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(blocks, block), pa.array(tags, tag)]
+            yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "host", "blocks", "tags"])
 
     small_batches(pages.sparkSession, 256)
     return spread(pages.select(F.col("page_id").cast("long"), "url", "html")).mapInArrow(run, _PARSED)
@@ -219,11 +232,12 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 
 def templates(parsed: DataFrame, least: float = 0.5) -> DataFrame:
     """(host, path) of all tags of valid equivalence classes."""
-    tokens = parsed.select("host", "r1", "r2", F.explode("tags").alias("t")).groupBy("host", F.col("t.path").alias("path"))
-    tokens = tokens.agg(F.count("*").alias("pages"), F.sum("t.n").alias("total"), F.sum(F.col("t.n") * F.col("r1")).alias("s1"), F.sum(F.col("t.n") * F.col("r2")).alias("s2"))
+    page = F.xxhash64("page_id", "url")
+    tokens = parsed.select("host", page.alias("page"), F.explode("tags").alias("t")).groupBy("host", F.col("t.path").alias("path"))
+    tokens = tokens.agg(F.count("*").alias("pages"), F.sum("t.n").alias("total"), F.bit_xor(F.xxhash64("page", "t.n")).alias("which"))
     # A host's pages: every page has the token "", as often as it is counted here.
     hosts = parsed.groupBy("host").agg(F.count("*").alias("all_pages"))
-    vector = ["host", "pages", "total", "s1", "s2"]
+    vector = ["host", "pages", "total", "which"]
     classes = tokens.groupBy(*vector).agg(F.count("*").alias("members"))
     valid = classes.join(hosts, "host").where((F.col("members") >= 2) & (F.col("total") == F.col("pages")) & (F.col("pages") >= F.col("all_pages") * least))
     return tokens.join(valid.select(*vector), vector).select("host", "path")
@@ -232,8 +246,9 @@ def templates(parsed: DataFrame, least: float = 0.5) -> DataFrame:
 def main_slots(parsed: DataFrame, template: DataFrame) -> DataFrame:
     """(host, main): the container of the slot that holds most text beyond its links."""
     slots = parsed.select("host", F.explode("blocks").alias("b")).groupBy("host", F.col("b.path").alias("path"), F.col("b.container").alias("container"))
-    slots = slots.agg(F.sum(F.length("b.text") - 2 * F.col("b.links")).alias("text"))
-    parts = F.split("path", "/")
+    text = F.length("b.text") - 2 * F.col("b.links")
+    slots = slots.agg(F.sum(F.when(F.col("b.weak"), text / 4).otherwise(text)).alias("text"))
+    parts = F.filter(F.split("path", "/"), lambda p: ~F.startswith(p, F.lit("~")))
     steps = slots.select("host", "path", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(parts))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("above"))
     t = template.select(F.col("host").alias("h"), F.col("path").alias("p"))
     under = steps.join(t, (F.col("host") == F.col("h")) & (F.col("above") == F.col("p"))).groupBy("host", "path").agg(F.max_by("above", F.length("above")).alias("tag"))
@@ -251,9 +266,9 @@ def extract(pages: DataFrame) -> DataFrame:
     main = cut(main_slots(parsed, templates(parsed)).select(F.col("host").alias("h"), "main"), "html-main")
     x = parsed.select("page_id", "url", "host", "blocks").join(main, F.col("host") == F.col("h"), "left")
     here = F.coalesce("main", F.lit(""))
-    inside = F.filter("blocks", lambda b: (here != "") & ((b["path"] == here) | F.startswith(b["path"], F.concat(here, F.lit("/")))))
+    inside = F.filter("blocks", lambda b: (here != "") & ((b["path"] == here) | (b["container"] == here) | F.startswith(b["path"], F.concat(here, F.lit("/")))))
     own = F.filter("blocks", lambda b: b["container"] != "")
     x = x.select("page_id", "url", "blocks", inside.alias("inside"), own.alias("own"))
-    kept = F.when(F.size("inside") > 0, F.col("inside")).when(F.size("own") > 0, F.col("own")).otherwise(F.col("blocks"))
+    kept = F.when(F.size("inside") > 0, F.col("inside")).when(F.size("own") > 0, F.col("own")).otherwise(F.filter("blocks", lambda b: ~b["weak"]))
     x = x.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), " ").alias("text"))
     return x.withColumn("n_chars", F.char_length("text").cast("long"))

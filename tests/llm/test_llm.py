@@ -340,6 +340,41 @@ def test_main_text_of_pages_of_one_template(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_what_a_class_must_say_and_depth(spark):
+    kept = ["share-price", "notice-board", "social-history", "ad-hoc", "widget-guide", "promo-code-history", "comment-body"]
+    rows = [(i, f"https://h{i}/", f'<main><p>before</p><div class="{c}">real content</div><p>after</p></main>') for i, c in enumerate(kept)]
+    gone = ["ad", "cookie-notice", "comments", "socialShare x", "post share"]
+    rows += [(20 + i, f"https://g{i}/", f'<main><p>before</p><div class="{c}">noise</div><p>after</p></main>') for i, c in enumerate(gone)]
+    rows += [(40, "https://deep/", "<div>" * 260 + "<nav>MENU</nav><p>text</p>" + "</div>" * 260), (41, "https://deep2/", "<div><section>" * 700 + "<main><p>a</p><form>no</form></main>")]
+    rows += [(42, "https://odd/", '<div class="notice-board"><p>board</p></div><div class="body"><p>' + "long text " * 20 + "</p></div>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    assert all(got[i] == "before real content after" for i in range(len(kept)))
+    assert all(got[20 + i] == "before after" for i in range(len(gone)))
+    assert got[40] == "text" and got[41] == "a" and got[42] == ("long text " * 20).strip()
+
+
+def test_templates_equal_occurrence_vectors_by_brute_force(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(60):
+        parts = [f'<div class="c{k}">x</div>' * rng.choice([1, 1, 1, 0, 2]) for k in range(4)] + ['<div class="always"><ul><li>m</li></ul></div>', "<p>a</p>" * rng.randrange(4)]
+        rows.append((i, f"https://{rng.choice('aab')}/{i}", f"<html><body>{''.join(parts)}</body></html>"))
+    rows.append(rows[0])
+    parsed = html_extract.parse_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {(r["host"], r["path"]) for r in html_extract.templates(parsed).collect()}
+    want = set()
+    for host in "ab":
+        tags = [html_extract.parse(h)[0] for _, u, h in rows if u.split("/")[2] == host]
+        vectors = {}
+        for path in set().union(*tags):
+            vectors.setdefault(tuple(t.get(path, 0) for t in tags), []).append(path)
+        for v, paths in vectors.items():
+            if len(paths) >= 2 and max(v) == 1 and sum(v) >= len(tags) / 2:
+                want |= {(host, p) for p in paths}
+    assert got == want and want
+
+
 # -- language model ----------------------------------------------------------
 
 
