@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from docloom.llm.graph import stars
 from docloom.session import cut, small_batches, spread
@@ -40,6 +41,10 @@ SEED = 42
 #: Distinct fingerprints that a shard should hold; sampled fingerprints that the tree is fitted on.
 SHARD = 8192
 SAMPLE = 16384
+#: A shard of more than OVERFULL * SHARD gets a tree of its own, on at most SHARD_SAMPLE of its points, up to LEVELS deep.
+OVERFULL = 4
+SHARD_SAMPLE = 2048
+LEVELS = 4
 BLOCK = 1 << 16
 
 
@@ -187,16 +192,57 @@ def link(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, sample: int =
         fp = x.view(np.int64)
         return pd.DataFrame({"a": fp[linked], "b": fp[label[linked]]})
 
-    dealt = fps.select("fp").mapInArrow(deal, "shard int, fp long, lives boolean")
+    dealt = cut(fps.select("fp").mapInArrow(deal, "shard int, fp long, lives boolean"), "simhash-dealt")
+    for _ in range(LEVELS):
+        finer = split_again(dealt, radius, shard)
+        if finer is None:
+            break
+        dealt = cut(finer, "simhash-dealt")
     return stars(dealt.groupBy("shard").applyInPandas(pairs, "a long, b long"), "simhash-links")
 
 
+def split_again(dealt: DataFrame, radius: int, shard: int) -> DataFrame | None:
+    """Shards that hold too much, dealt by trees of their own; None if there is none, or none that a tree divides."""
+    sizes = {r["shard"]: r["count"] for r in dealt.groupBy("shard").count().collect()}  # a row a shard
+    big = {k: -(-n // SHARD_SAMPLE) for k, n in sizes.items() if n > OVERFULL * shard}
+    if not big:
+        return None
+    every = F.create_map(*(F.lit(x) for pair in big.items() for x in pair))[F.col("shard")]
+    some = dealt.where(F.col("shard").isin(list(big)) & (F.pmod(F.xxhash64("fp", "shard"), every) == 0)).select("shard", "fp").toArrow()
+    of, points = some.column("shard").to_numpy(), some.column("fp").to_numpy().view(np.uint64)
+    trees, first, free = {}, {}, max(sizes) + 1
+    for k, n in big.items():
+        nodes = grow(points[of == k], max(16, shard // n), radius, seed=k)
+        if len(nodes) > 1:
+            trees[k], first[k] = nodes, free
+            free += len(nodes)
+    if not trees:
+        return None
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, x, home = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)
+            for k in np.unique(at).tolist():
+                mine = np.flatnonzero(at == k)
+                parts = route(trees[k], x[mine], radius) if k in trees else [(0, np.arange(len(mine)), np.ones(len(mine), dtype=bool))]
+                for to, who, lives in parts:
+                    rows = mine[who]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), first.get(k, k) + to, dtype=np.int32)), pa.array(x[rows].view(np.int64)), pa.array(lives & home[rows])], ["shard", "fp", "lives"])
+
+    return dealt.mapInArrow(deal, "shard int, fp long, lives boolean")
+
+
+def roots_of(least: DataFrame, radius: int) -> DataFrame:
+    """(fp, least, root) of a table of distinct fp and what its rows are led by."""
+    links = link(least, radius)
+    return least.join(links, least["fp"] == links["a"], "left").select("fp", "least", F.coalesce("b", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of `docs`."""
     found = cut(fingerprints(docs), "simhash")
     least = cut(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    links = link(least, radius)
-    roots = least.join(links, least["fp"] == links["a"], "left").select("fp", "least", F.coalesce("b", "fp").alias("root"))
+    roots = roots_of(least, radius)
     names = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     named = roots.select("fp", "root").join(names, "root").select(F.col("fp").alias("f"), "component_id")
     return found.join(named, found["fp"] == named["f"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -205,14 +251,28 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One document of each group of near-duplicates: that of the smallest doc_id, with all its columns.
 
-    Rows that repeat a doc_id are copies of one document; the one whose columns
-    sort first stays.  Rows without a doc_id cannot be told apart and stay.
+    Rows are told apart as rows: those that repeat a doc_id with other texts
+    are other documents, of copies with one doc_id one stays, and rows without
+    a doc_id stay where their group has no other.  The documents are written
+    once with their fingerprints and numbers, and read again without the rows
+    that go; only numbers and fingerprints are shuffled, but for the join that
+    drops rows, whose kind Spark chooses by how many go.
     """
-    found = cut(near_duplicates(docs, radius).select("doc_id", "component_id"), "simhash-named")
-    # As many ids as documents stay: never a broadcast, whatever the size.
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct().hint("merge")
-    kept = docs.join(keep, "doc_id", "left_semi")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
-        rest = [c for c in docs.columns if c != "doc_id"]
-        kept = kept.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r")).select(*(F.col("doc_id") if c == "doc_id" else F.col("r")[c].alias(c) for c in docs.columns))
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    fp, row = (f"{c}_{len(docs.columns)}" for c in ("simhash_fp", "simhash_row"))
+    at, bare = docs.columns.index("text"), docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(t.as_py().encode("utf-8", "surrogatepass") if t.is_valid else None) for t in batch.column(at)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], [*batch.schema.names, fp])
+
+    small_batches(docs.sparkSession)
+    tagged = docs.mapInArrow(run, StructType([*bare.fields, StructField(fp, LongType())]))
+    tagged = cut(tagged.withColumn(row, F.monotonically_increasing_id()), "simhash-tagged")
+    rows = tagged.select(F.col(fp).alias("fp"), F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col(row).alias("row")).alias("lead"))
+    least = cut(rows.groupBy("fp").agg(F.min("lead").alias("least")), "simhash-distinct")
+    roots = roots_of(least, radius)
+    stays = roots.groupBy("root").agg(F.min("least").alias("stays"))
+    named = roots.select("fp", "root").join(stays, "root").select(F.col("fp").alias("f"), F.col("stays.row").alias("stays"))
+    gone = cut(rows.join(named, F.col("fp") == F.col("f")).where(F.col("lead.row") != F.col("stays")).select(F.col("lead.row").alias(row)), "simhash-gone")
+    return tagged.join(gone, row, "left_anti").select(*docs.columns)

@@ -114,6 +114,7 @@ def test_shards_lose_no_link(spark):
     fps = sorted(set(fps))
     table = spark.createDataFrame([(x,) for x in np.array(fps, dtype=np.uint64).view(np.int64).tolist()], "fp long")
     got = {r["a"]: r["b"] for r in simhash.link(table, shard=64, sample=1024).collect()}
+    assert got == {r["a"]: r["b"] for r in simhash.link(table, shard=24, sample=40).collect()}  # shards that are split again
     signed = np.array(fps, dtype=np.uint64).view(np.int64).tolist()
     roots = brute_components(fps)
     groups = {}
@@ -127,6 +128,11 @@ def test_keep_one(spark):
     kept = simhash.keep_one(docs_of(spark, rows))
     assert kept.columns == docs_of(spark, rows).columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [3, 9, None]
+    rows = [(1, "b b b b b", "s"), (5, "b b b b b", "s"), (5, "quite another text it is", "s"), (None, "b b b b b", "s"), (7, None, "s"), (8, "", "s")]
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(docs_of(spark, rows)).collect()) == [(1, "b b b b b"), (5, "quite another text it is"), (7, None)]
+    odd = spark.createDataFrame([(1, "a b c", {"k": 1}, 7), (2, "a b c", None, 8)], "doc_id long, text string, fp map<string,int>, row long")
+    assert [(r["doc_id"], r["fp"], r["row"]) for r in simhash.keep_one(odd).collect()] == [(1, {"k": 1}, 7)]
+    assert simhash.keep_one(docs_of(spark, [])).count() == 0
 
 
 # -- decontamination ---------------------------------------------------------
