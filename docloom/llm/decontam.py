@@ -8,8 +8,9 @@ nearly all of its length in its space however large the benchmark is: products
 with the passage table run on the executors, for many spaces at once, only the
 thin factors come to the driver.  Every window of every document (`WINDOW`
 words, half overlapping) is folded into each space and compared by cosine with
-its passages; windows whose weight lies mostly in words that the space does
-not have cannot reach the threshold and are passed over, which loses nothing.
+its passages; a window whose share of weight in words of the space is below
+the threshold cannot reach it and is passed over, which loses nothing.  Words
+that the benchmark does not have weigh as much as its median word.
 
 Candidates are then checked in the words themselves: the longest common
 subsequence of a passage and the window with its surroundings, each word
@@ -20,7 +21,8 @@ meetings of common words are not.  Passages of less than `SHORT` words must be
 there word for word.
 
 Defined results: null and empty texts and items match nothing; an item that is
-repeated counts once for each item_id; a document that matches several items
+repeated counts once for each item_id, and items without an id are items (their
+item_id is null); a document that matches several items
 gives a row each; repeated documents each give their rows; empty tables give
 an empty result (no benchmark: nothing is contaminated); other columns are
 ignored.
@@ -45,8 +47,8 @@ WINDOW = 32
 RANK = 192
 #: Passages of a latent space: few enough that RANK keeps nearly all of their length.
 SPACE = 256
-COSINE = 0.45
-COVER = 0.7
+COSINE = 0.4
+COVER = 0.58
 COVER_ANSWER = 0.5
 SHORT = 8
 #: Items and characters of a block, taken at once: bounds the vocabulary, the factors and the broadcast.
@@ -72,6 +74,11 @@ def passages_of(n: int, size: int = WINDOW) -> list[tuple[int, int]]:
     return [(s, s + size) for s in range(0, n - size, size // 2)] + [(n - size, n)]
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of every range, one range after another."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 @dataclass
 class Items:
     """A block of the benchmark."""
@@ -87,7 +94,7 @@ def read_items(rows: list[tuple[int, str | None, str | None]]) -> Items:
     index: dict[bytes, int] = {}
     number = lambda ws: np.array([index.setdefault(w, len(index)) for w in ws], dtype=np.int64)
     out = Items(index, [], [], [], [])
-    for item, text, answer in sorted({r for r in rows if r[0] is not None}, key=lambda r: (r[0], r[1] or "", r[2] or "")):
+    for item, text, answer in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2] or "")):
         w = number(words((text or "").encode("utf-8", "replace")))
         if not len(w):
             continue
@@ -205,32 +212,64 @@ class Matcher:
 
     def match(self, texts: list[bytes | None]) -> list[list[tuple[int, float, float, bool, int]]]:
         """For each text the items it holds: (item_id, cosine, share, answer found, word)."""
-        half, index = WINDOW // 2, self.items.index
-        docs = [np.fromiter(map(index.get, w, itertools.repeat(-1)), dtype=np.int32, count=len(w)) for w in map(words, texts)]
+        half = WINDOW // 2
+        docs = [self._numbers(words(t)) for t in texts]
         found: list[list] = [[] for _ in docs]
         sizes = np.array([len(w) for w in docs], dtype=np.int64)
         if not sizes.sum():
             return found
-        tokens = np.concatenate(docs)
+        known = np.concatenate(docs)  # words of the benchmark by number, others below -1, each its own
+        tokens = np.maximum(known, -1).astype(np.int32)
         base = np.concatenate([[0], np.cumsum(sizes)])
         # Half windows of all texts; a window is two that follow each other in a text, or a text's only one.
         halves = -(-sizes // half)
         doc_of = np.repeat(np.arange(len(docs)), halves)
         lo = np.arange(len(doc_of)) * half - np.repeat(np.cumsum(halves * half) - halves * half, halves) + base[doc_of]
-        square = self.idf[tokens] ** 2
-        mass = np.append(np.add.reduceat(square, lo), 0.0)
         follows = np.append(doc_of[1:] == doc_of[:-1], False)
         alone = halves[doc_of] == 1
         first = np.flatnonzero(follows | alone)
         second = np.where(alone[first], len(doc_of), first + 1)
-        norm = np.maximum(mass[first] + mass[second], 1e-12)
         ends = np.append(lo[1:], len(tokens))
+        starts, stops = lo[first], np.where(alone[first], ends[first], ends[np.minimum(second, len(ends) - 1)])
+        weight = self._counted(known, tokens, starts, stops)
+        norm = np.maximum(np.add.reduceat(weight, np.cumsum(stops - starts) - (stops - starts)), 1e-12)
+        here = tokens[_ranges(starts, stops - starts)]
         for space in self.spaces:
-            rows, none = space.rows[tokens], len(space.folded) - 1
-            known = np.append(np.add.reduceat(np.where(rows < none, square, 0.0), lo), 0.0)
-            go = known[first] + known[second] >= space.least.min() ** 2 * norm * 0.8  # less than 1: words may repeat
-            self._near(space, rows, lo, ends, first[go], second[go], np.sqrt(norm[go]).astype(np.float32), doc_of, base, sizes, found)
-        return [self._check(docs[d], c) if c else [] for d, c in enumerate(found)]
+            inside = np.add.reduceat(np.where(space.rows[here] < len(space.folded) - 1, weight, 0.0), np.cumsum(stops - starts) - (stops - starts))
+            go = inside >= (space.least.min() * (1 - 1e-6)) ** 2 * norm
+            self._near(space, space.rows[tokens], lo, ends, first[go], second[go], np.sqrt(norm[go]).astype(np.float32), doc_of, base, sizes, found)
+        return [self._check(np.maximum(docs[d], -1), c) if c else [] for d, c in enumerate(found)]
+
+    def _numbers(self, ws: list[bytes]) -> np.ndarray:
+        out = np.fromiter(map(self.items.index.get, ws, itertools.repeat(-1)), dtype=np.int64, count=len(ws))
+        at = np.flatnonzero(out < 0)
+        out[at] = -2 - (np.fromiter((hash(ws[i]) for i in at.tolist()), dtype=np.int64, count=len(at)) & 0x3FFFFFFFFFFFFFFF)
+        return out
+
+    def _counted(self, known: np.ndarray, tokens: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """For each word of each window, one window after another, its idf^2 times how often the window has it."""
+        out = np.zeros(int((stops - starts).sum()))
+        done = 0
+        for i in range(0, len(starts), 4 * _SLICE):
+            s, size = starts[i : i + 4 * _SLICE], (stops - starts)[i : i + 4 * _SLICE]
+            at = _ranges(s, size)
+            row, col = np.repeat(np.arange(len(s)), size), at - np.repeat(s, size)
+            grid = np.full((len(s), WINDOW), np.iinfo(np.int64).max) - np.arange(WINDOW)  # what is missing equals nothing
+            grid[row, col] = known[at]
+            order = np.argsort(grid, axis=1, kind="stable")
+            ordered = np.take_along_axis(grid, order, axis=1)
+            count = np.ones(grid.shape)
+            for lag in range(1, WINDOW):
+                same = ordered[:, lag:] == ordered[:, :-lag]
+                if not same.any():
+                    break
+                count[:, lag:] += same
+                count[:, :-lag] += same
+            back = np.empty_like(count)
+            np.put_along_axis(back, order, count, axis=1)
+            out[done : done + len(at)] = back[row, col] * self.idf[tokens[at]] ** 2
+            done += len(at)
+        return out
 
     @staticmethod
     def _near(space: Space, rows, lo, ends, first, second, norm, doc_of, base, sizes, found: list[list]) -> None:
@@ -295,10 +334,11 @@ def matchers(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: fl
     spark = docs.sparkSession
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"), answer.alias("answer"))
+    items = items.distinct()
     n_items, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).head()
     blocks = max(-(-n_items // BLOCK_ITEMS), -(-chars // BLOCK_CHARS))
     for k in range(blocks):
-        some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         block = read_items([tuple(r) for r in some.collect()])
         if not block.passages:
             continue
@@ -347,10 +387,11 @@ def latent_spaces(spark: SparkSession, block: Items, idf: np.ndarray, rank: int,
             latent, least = [], []
             for item, s, e in block.passages[edges[k] : edges[k + 1]]:
                 w = block.words[item][s:e]
+                times = np.unique(w, return_counts=True)[1]
                 x = folded[rows[w]].sum(axis=0)
                 latent.append(x / max(float(np.linalg.norm(x)), 1e-12))
                 # What a copy keeps in the latent space, and what a short passage weighs in a window.
-                kept = float(np.linalg.norm(x)) / float(np.sqrt((idf[w] ** 2).sum()))
+                kept = float(np.linalg.norm(x)) / float(np.sqrt(((times * idf[np.unique(w)]) ** 2).sum()))
                 least.append(cosine * min(1.0, kept) * np.sqrt(min(1.0, (e - s) / WINDOW)))
             out.append(Space(int(edges[k]), rows, folded, np.array(latent, dtype=np.float32), np.array(least, dtype=np.float32)))
     return out

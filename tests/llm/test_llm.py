@@ -180,6 +180,41 @@ def test_exact_copies_are_found_in_a_large_benchmark_of_long_items(spark):
     assert Counter(got) == Counter((i, i * 6) for i, _, _ in rows)
 
 
+def test_windows_are_compared_by_true_cosine():
+    rng = np.random.default_rng(22)
+    bags = [rng.integers(0, 12, 32) for _ in range(6)]
+    name = lambda t: b"w%02d" % t
+    items = decontam.Items({name(t): t for t in range(8)}, [0], [bags[0] % 8], [np.zeros(0, np.int64)], [(0, 0, 32)])
+    idf = np.append(rng.random(8) + 0.5, 0.7)
+    vector = lambda w: np.bincount(w, minlength=12) * np.where(np.arange(12) < 8, idf[np.minimum(np.arange(12), 8)], 0.7)
+    p = vector(bags[0] % 8)
+    space = decontam.Space(0, np.append(np.arange(8), 8).astype(np.int32), np.vstack([np.diag(idf[:8]), np.zeros((1, 8))]).astype(np.float32), (p[:8] / np.linalg.norm(p))[None].astype(np.float32), np.array([0.01], np.float32))
+    found = {}
+    matcher = decontam.Matcher(items, idf, [space])
+    matcher._check = lambda doc, c: found.setdefault(len(found), c) and []
+    texts = [bags[0] % 8, *bags[1:], np.zeros(32, np.int64)]
+    matcher.match([b" ".join(map(name, t.tolist())) for t in texts])
+    for t, c in zip(texts, found.values(), strict=True):
+        v = vector(t)
+        assert [x[0] for x in c] == pytest.approx([p @ v / np.linalg.norm(p) / np.linalg.norm(v)], abs=1e-5)
+    assert found[0][0][0] == pytest.approx(1, abs=1e-5)
+
+
+def test_paraphrases_are_found_and_items_without_id_count(spark):
+    rng = random.Random(23)
+    pool = prose(rng, 8000, 8000).split()
+    text = lambda n: [rng.choice(pool) for _ in range(n)]
+    items = [text(40) for _ in range(100)]
+    rows = [(i, " ".join(text(40) + [w if rng.random() > 0.3 else rng.choice(pool) for w in t] + text(40)), "s") for i, t in enumerate(items)]
+    clean = [(1000 + i, " ".join(text(120)), "s") for i in range(100)]
+    bench = spark.createDataFrame([(k if k else None, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs_of(spark, rows + clean), bench).collect()}
+    assert got <= {(k, k if k else None) for k in range(100)} and len(got) >= 93
+    copies = docs_of(spark, [(1, " ".join(items[0]), "s"), (2, " ".join(items[5]), "s"), (3, None, None)])
+    assert [r["doc_id"] for r in decontam.keep_uncontaminated(copies, bench).collect()] == [3]
+    assert decontam.keep_uncontaminated(copies, bench.limit(0)).count() == 3 and decontam.keep_uncontaminated(copies.limit(0), bench).count() == 0
+
+
 def test_answer_column_lowers_what_must_be_covered():
     a, b = np.arange(10), np.array([0, 1, 2, 99, 3, 98, 4, 97, 96, 95])
     weight = np.ones(100)
