@@ -108,13 +108,15 @@ class Lexicon:
 
 def lexicon(counts: DataFrame, ends: int, most: int = HEAD) -> Lexicon:
     """The frequent words and the totals of all classes, from the table of counts."""
-    by_count = counts.groupBy("n").count().collect() if ends else []
-    n, v = sum(r["n"] * r["count"] for r in by_count), sum(r["count"] for r in by_count)
-    least, held = None, 0
-    for r in sorted(by_count, key=lambda r: -r["n"]):
-        if held + r["count"] > most:
-            break
-        held, least = held + r["count"], r["n"]
+    n = v = 0
+    least = None
+    if ends:
+        # Word counts in eighths of a power of two: a bounded number of rows for any corpus.
+        scale = F.floor(F.log2(F.col("n").cast("double")) * 8)
+        for r in sorted(counts.groupBy(scale.alias("scale")).agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.min("n").alias("least")).collect(), key=lambda r: -r["scale"]):
+            n, v = n + r["n"], v + r["v"]
+            if v <= most:
+                least = r["least"]
     rows = counts.where(F.col("n") >= least).collect() if least is not None else []
     rows = sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda r: (-r[1], r[0]))
     words = [w for w, _ in rows]

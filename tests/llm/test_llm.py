@@ -453,6 +453,33 @@ def test_class_factor_sums_to_one():
     assert np.allclose(total, 1, atol=1e-5)
 
 
+def test_words_sum_to_one_after_any_history(spark):
+    rng = random.Random(24)
+    rows = [(i, prose(rng, 30, 90), "s") for i in range(60)]
+    texts = docs_of(spark, rows).selectExpr("cast(text as binary) as text")
+    counts = lm.word_counts(texts)
+    lex = lm.lexicon(counts, len(rows), 50)
+    weights, bias = lm.train(texts, lex)
+    words = {bytes(r["word"]): r["n"] for r in counts.collect()}
+    for history in (b"", rows[0][1].encode(), b"never seen before"):
+        # Every word of the lexicon after the history, the end, and one unknown word for each group of words.
+        docs = [[*history.split(), w] for w in words]
+        h, c, _, starts, sizes, _ = lm._encoded(lex, [*docs, history.split()])
+        last = np.append(starts[:-1] + sizes[:-1] - 2, starts[-1] + sizes[-1] - 1)
+        p_class = np.exp(lm.log_classes(weights, bias, lm.features(h, starts, sizes)[last], c[last]))
+        own = np.array([words.get(d[-1], 0) for d in docs] + [0])
+        inside = np.where(c[last] > lm.SINGLES, (own + lm.SMOOTH) / 10 ** lex.class_log[c[last]], 1.0)
+        f = np.repeat(lm.features(h, starts, sizes)[last[-1:]], lm.CLASSES, axis=0)
+        every = np.exp(lm.log_classes(weights, bias, f, np.arange(lm.CLASSES)))
+        unknown = (every[1 + lm.SINGLES :] * lm.SMOOTH / 10 ** lex.class_log[1 + lm.SINGLES :]).sum()
+        assert (p_class * inside).sum() + unknown == pytest.approx(1, abs=1e-3)
+
+
+def test_held_out_documents_gain_over_single_words(spark):
+    got = lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert got["sum(score)"] > got["sum(base_score)"]
+
+
 # -- chat, URLs --------------------------------------------------------------
 
 
