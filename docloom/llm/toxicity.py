@@ -35,13 +35,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.session import cut, small_batches, spread
 
 EXAMPLES = 4096
-BLOCK = 64
+BLOCK = 16
 FREQUENT = 1024
 NEAREST = 16
 #: The cut of `predicted`; the least `telling`; the chi-square at which it is a half; the prior's weight in a vote.
@@ -135,7 +136,9 @@ class Index:
         np.maximum.at(most, (row[term[often]], example[often] // BLOCK), weight[often])
         own = np.bincount(example[often], minlength=len(sparse))
         order = np.argsort(term, kind="stable")
-        return cls(len(sparse), np.cumsum(size) - size, size, example[order], weight[order], row, most, np.cumsum(own) - own, own, row[term[often]], weight[often])
+        narrow = lambda x: x.astype(np.int32)
+        weight = weight.astype(np.float32)
+        return cls(len(sparse), np.cumsum(size) - size, size, narrow(example[order]), weight[order], row, most, np.cumsum(own) - own, own, narrow(row[term[often]]), weight[often])
 
     def nearest(self, ids: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Example numbers and cosines of the k nearest that share a term."""
@@ -172,7 +175,6 @@ class Model:
     ids: np.ndarray  # of the examples
     toxic: np.ndarray
     stands_for: np.ndarray
-    sparse: list[tuple[np.ndarray, np.ndarray]]
     k: int = NEAREST
     prior: float = 0.0
     steps: tuple[np.ndarray, np.ndarray] | None = None  # the isotonic map
@@ -190,8 +192,6 @@ class Model:
         return ids[order], w[order] / max(np.sqrt(w @ w), 1e-300)
 
     def nearest(self, ids: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        if self.index is None:
-            self.index = Index.of(self.sparse, len(self.weights))
         return self.index.nearest(ids, w, self.k, skip)
 
     def vote(self, at: np.ndarray, sims: np.ndarray) -> float:
@@ -200,8 +200,8 @@ class Model:
         yes = float(w @ self.toxic[at])
         return (yes + PRIOR * self.prior) / (float(w.sum()) + PRIOR)
 
-    def calibrate(self) -> None:
-        near = [self.nearest(*v, skip=e) for e, v in enumerate(self.sparse)]
+    def calibrate(self, sparse: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        near = [self.nearest(*v, skip=e) for e, v in enumerate(sparse)]
         votes = np.array([self.vote(*x) if len(x[0]) else -1.0 for x in near])
         none = votes < 0
         share = lambda m, base: float((self.stands_for[m] @ self.toxic[m] + base) / (self.stands_for[m].sum() + 1))
@@ -239,9 +239,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES, k: int =
     examples = examples.select(F.col("doc_id").cast("long"), "toxic", "text").mapInArrow(reduce, "doc_id long, toxic int, words array<binary>, n array<int>")
     # Of rows that repeat a doc_id one counts.
     examples = examples.groupBy("doc_id", "toxic").agg(F.min(F.struct("words", "n")).alias("x")).select("doc_id", "toxic", "x.words", "x.n")
-    got = examples.orderBy("doc_id").toArrow()
+    got = examples.toArrow()
+    got = got.take(pc.sort_indices(got, [("doc_id", "ascending")]))
     toxic = got.column("toxic").to_numpy().astype(float)
-    empty = Model({}, np.zeros(0), 0.0, np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0), [], k, prior, None, prior)
+    empty = Model({}, np.zeros(0), 0.0, np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0), k, prior, None, prior)
     if not 0 < toxic.sum() < len(toxic):
         return empty
     lists = got.column("words").combine_chunks()
@@ -249,22 +250,26 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES, k: int =
     term, size = coded.indices.to_numpy().astype(np.int64), lists.value_lengths().to_numpy()
     tf = 1 + np.log(got.column("n").combine_chunks().flatten().to_numpy())
     index = {w: i for i, w in enumerate(coded.dictionary.to_pylist())}
+    ids = got.column("doc_id").to_numpy()
+    del got, lists, coded  # the driver holds the index once
+    pa.default_memory_pool().release_unused()
     df, total = document_frequencies(docs, index)
     held = [np.bincount(term, np.repeat(toxic == c, size), len(index)) for c in (0, 1)]
     weights = (np.log((total + 1) / (df + 1)) + 1) * telling(*held, int((toxic == 0).sum()), int(toxic.sum()))
     sparse = []
-    for ids, n in zip(np.split(term, np.cumsum(size)[:-1]), np.split(tf, np.cumsum(size)[:-1]), strict=True):
-        w = n * weights[ids]
-        order = np.argsort(ids)
-        sparse.append((ids[order], w[order] / max(np.sqrt(w @ w), 1e-300)))
+    for t, n in zip(np.split(term, np.cumsum(size)[:-1]), np.split(tf, np.cumsum(size)[:-1]), strict=True):
+        w = n * weights[t]
+        order = np.argsort(t)
+        sparse.append((t[order], w[order] / max(np.sqrt(w @ w), 1e-300)))
     # Examples that share their weightiest term lie together, so that blocks have telling maxima.
-    first = np.array([ids[w.argmax()] if len(ids) else -1 for ids, w in sparse])
+    first = np.array([t[w.argmax()] if len(t) else -1 for t, w in sparse])
     order = np.lexsort((np.arange(len(first)), first, toxic))
     toxic = toxic[order]
     stands_for = np.where(toxic == 1, sizes[1] / toxic.sum(), sizes[0] / (toxic == 0).sum())
     unknown = (np.log((total + 1) / 2) + 1) * FLOOR
-    model = Model(index, weights, unknown, got.column("doc_id").to_numpy()[order], toxic, stands_for, [sparse[i] for i in order], k, prior)
-    model.calibrate()
+    sparse = [sparse[i] for i in order]
+    model = Model(index, weights, unknown, ids[order], toxic, stands_for, k, prior, index=Index.of(sparse, len(weights)))
+    model.calibrate(sparse)
     return model
 
 
