@@ -29,6 +29,7 @@ gives an empty result; columns beside doc_id and text are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,6 +37,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +52,8 @@ CUT = 0.3
 FLOOR = 0.02
 CHI2 = 40.0
 PRIOR = 0.5
+#: Texts whose scores a task keeps at hand, for their copies.
+SEEN = 1 << 15
 _CLEAN = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256)).lower()
 
 
@@ -179,17 +183,17 @@ class Model:
     prior: float = 0.0
     steps: tuple[np.ndarray, np.ndarray] | None = None  # the isotonic map
     empty_score: float = 0.0
-    index: Index | None = field(default=None)
+    index: Index | None = None
+    seen: dict[bytes, tuple] = field(default_factory=dict)  # scores of the latest texts
 
     def vector(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and weights of a whole text's terms; of unit length together with the words that are no terms."""
         counts = Counter(words(text))
-        ids = np.fromiter((self.terms.get(w, -1) for w in counts), dtype=np.int64, count=len(counts))
+        ids = np.fromiter(map(self.terms.get, counts, itertools.repeat(-1)), dtype=np.int64, count=len(counts))
         tf = 1 + np.log(np.fromiter(counts.values(), dtype=np.float64, count=len(counts)))
         w = tf * np.where(ids >= 0, self.weights[ids], self.unknown) if len(self.weights) else tf
-        order = np.argsort(ids, kind="stable")
-        order = order[np.searchsorted(ids[order], 0) :]
-        return ids[order], w[order] / max(np.sqrt(w @ w), 1e-300)
+        known = ids >= 0
+        return ids[known], w[known] / max(np.sqrt(w @ w), 1e-300)
 
     def nearest(self, ids: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         return self.index.nearest(ids, w, self.k, skip)
@@ -218,6 +222,18 @@ class Model:
             self.steps = np.array([e for p in pools for e in (p[2], p[3])]), np.array([p[0] for p in pools for _ in (0, 1)])
 
     def score(self, text: bytes | None) -> tuple[float, np.ndarray, np.ndarray]:
+        """Score, nearest examples and their cosines; copies that a task meets again are not searched again."""
+        key = xxhash.xxh3_128_digest(text or b"")
+        if key not in self.seen:
+            if len(self.seen) >= SEEN:
+                self.seen.clear()
+            self.seen[key] = self._score(text)
+        return self.seen[key]
+
+    def __getstate__(self):
+        return self.__dict__ | {"seen": {}}
+
+    def _score(self, text: bytes | None) -> tuple[float, np.ndarray, np.ndarray]:
         ids, w = self.vector(text)
         at, sims = self.nearest(ids, w) if len(ids) and self.steps is not None else (np.zeros(0, dtype=np.int64), np.zeros(0))
         return float(np.interp(self.vote(at, sims), *self.steps)) if len(at) else self.empty_score, at, sims
