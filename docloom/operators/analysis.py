@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docloom.session import cut
+
 
 def paragraphs(lines: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
     """Runs of lines between empty ones: keys, paragraph (from 1), text with its lines joined by LF.
@@ -48,9 +50,10 @@ def tokens_to_turns(tokens: DataFrame, turns: DataFrame, cell_ms: int = 60_000)
 
 def overlapping_regions(regions: DataFrame, least: float = 0.55, cell: float = 100.0) -> DataFrame:
     """Range self-join: pairs of regions (page_id, region_id, x, y, w, h, text) of equal text that share `least` of the smaller one."""
-    dealt = regions.withColumn("cell", F.explode(F.sequence(F.floor(F.col("x") / cell), F.floor((F.col("x") + F.col("w")) / cell))))
+    cells = lambda p, s: F.explode(F.sequence(F.floor(F.col(p) / cell), F.floor((F.col(p) + F.col(s)) / cell)))
+    dealt = regions.withColumn("cell", cells("x", "w")).withColumn("cell_y", cells("y", "h"))
     a, b = dealt.alias("a"), dealt.alias("b")
-    x = a.join(b, (F.col("a.page_id") == F.col("b.page_id")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.text") == F.col("b.text")) & (F.col("a.region_id") < F.col("b.region_id")))
+    x = a.join(b, (F.col("a.page_id") == F.col("b.page_id")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.cell_y") == F.col("b.cell_y")) & (F.col("a.text") == F.col("b.text")) & (F.col("a.region_id") < F.col("b.region_id")))
     side = lambda p, s: F.greatest(F.lit(0.0), F.least(F.col(f"a.{p}") + F.col(f"a.{s}"), F.col(f"b.{p}") + F.col(f"b.{s}")) - F.greatest(f"a.{p}", f"b.{p}"))
     shared = side("x", "w") * side("y", "h") / F.least(F.col("a.w") * F.col("a.h"), F.col("b.w") * F.col("b.h"))
     return x.select(F.col("a.page_id").alias("page_id"), F.col("a.region_id").alias("kept"), F.col("b.region_id").alias("dropped"), shared.alias("overlap")).where(F.col("overlap") >= least).distinct()
@@ -67,10 +70,9 @@ def running_matter(lines: DataFrame, least_pages: int = 2, edge: float = 0.12) -
 
 
 def first_of_key(df: DataFrame, key: Column, order: str) -> DataFrame:
-    """The first row of each key. Only keys and orders are aggregated, then rows are joined back."""
-    keyed = df.withColumn("_k", key)
-    first = keyed.groupBy("_k").agg(F.min(order).alias("_o")).withColumnRenamed("_k", "_first")
-    return keyed.join(first, F.col("_k").eqNullSafe(F.col("_first")) & (F.col(order) == F.col("_o"))).drop("_k", "_first", "_o")
+    """The first row of each key by `order`, one of them where it ties; tasks pass on one row a key."""
+    n = F.row_number().over(W.partitionBy("_k").orderBy(F.col(order).asc_nulls_last()))
+    return df.withColumn("_k", key).withColumn("_n", n).where("_n = 1").drop("_k", "_n")
 
 
 def feed_key(guid: Column, link: Column, *content: Column) -> Column:
@@ -119,15 +121,18 @@ def keyset_page(tasks: DataFrame, updated: str, key: str, size: int = 100, after
 
 
 def ancestry(edges: DataFrame, depth: int = 16) -> DataFrame:
-    """(child, parent) -> (node, ancestor, distance), up to `depth` levels."""
+    """(child, parent) -> (node, ancestor, distance) of all levels; trees of more than `depth` levels are refused.
+
+    Each level is written before the next one, so that none is computed twice.
+    """
     found = step = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
     up = edges.select(F.col("child").alias("_c"), F.col("parent").alias("_p"))
-    for d in range(2, depth + 1):
-        step = step.join(up, F.col("ancestor") == F.col("_c")).select("node", F.col("_p").alias("ancestor"), F.lit(d).alias("distance"))
+    for d in range(2, depth + 2):
+        step = cut(step.join(up, F.col("ancestor") == F.col("_c")).select("node", F.col("_p").alias("ancestor"), F.lit(d).alias("distance")), "ancestry")
         if not step.head(1):
-            break
+            return found
         found = found.unionByName(step)
-    return found
+    raise ValueError(f"the tree has more than {depth} levels")
 
 
 def robust_mean(values: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -102,7 +102,7 @@ def text_format(s: str) -> tuple[str, float] | None:
             if isinstance(v, dict) and isinstance(v.get("parse"), dict) and "text" in v["parse"]:
                 return "mediawiki", 0.99
             return "json", 0.96
-    head = body[:65_536]
+    head = body
     if re.search(r"<(?:mxfile|mxGraphModel)[\s>]", head[:4096]):
         return "drawio", 0.99
     if re.match(r"(?:<\?xml[^>]*>\s*)?(?:<!--.*?-->\s*)*<(?:rss\b[^>]*version|feed\b[^>]*http://www.w3.org/2005/Atom)", head, re.S):
@@ -115,7 +115,7 @@ def text_format(s: str) -> tuple[str, float] | None:
         return "html", 0.94
     if re.match(r"<[A-Za-z_][\w:.-]*(?:\s[^<>]*)?/?>", head) and head.rstrip().endswith(">"):
         return "xml", 0.92
-    lines = head.split("\n")[:4096]
+    lines = head.split("\n")
     marks = sum(bool(re.match(r"\s{0,3}(?:#{1,6}\s|[-*+]\s|\d+[.)]\s|>\s?|```|~~~)", x)) for x in lines)
     if marks >= 2 or re.search(r"(?m)^\s*\|?\s*:?-{3,}:?\s*\|[\s|:-]*$", head) or re.search(r"(?m)^\s*[-*+] \[[ xX]\] ", head):
         return "markdown", 0.91
@@ -138,17 +138,16 @@ def sniff_text(data: bytes) -> tuple[str, float] | None:
 
     if not data:
         return "text", 0.80
-    sample = data[:65_536]
     marked = next((name for bom, name in BOMS if data.startswith(bom)), None)
     try:
-        s, conf = sample.decode(marked or "utf-8", "ignore" if len(data) > len(sample) else "strict"), 0.95 if marked else 0.88
+        s, conf = data.decode(marked or "utf-8"), 0.95 if marked else 0.88
     except UnicodeDecodeError:
         if marked:
             return "text", 0.80
-        legacy = sniff_legacy(sample)
+        legacy = sniff_legacy(data)
         if not legacy:
             return None
-        s, conf = sample.decode(legacy), 0.72
+        s, conf = data.decode(legacy), 0.72
     bad = len(re.findall(r"[\x00-\x08\x0e-\x1a\x1c-\x1f\x7f]", s))
     return None if bad or s.count("�") > len(s) / 100 else ("text", conf)
 

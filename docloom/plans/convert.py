@@ -87,9 +87,13 @@ def convert(docs: DataFrame, max_input_bytes: int = 64 << 20, **options) -> Data
     rules, give a row with an error code; none ever fails the job.
     """
     docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source_name", "media_type", "content")
-    evidence = detect.hint_evidence(docs).unionByName(detect.content_evidence(docs))
-    chosen = detect.choose_converters(detect.merge_candidates(evidence)).select("doc_id", "format", "converter_id")
-    return convert_as(docs.join(chosen, "doc_id", "left"), max_input_bytes, **options)
+    # Evidence is of what a row holds, not of its id: ids may be repeated or missing.
+    row = F.concat_ws(":", F.hex(F.xxhash64("doc_id", "source_name", "media_type", "content")), F.hex(F.hash("content", "doc_id", "source_name")))
+    docs = docs.withColumn("row", row)
+    seen = docs.select(F.col("row").alias("doc_id"), "source_name", "media_type", "content")
+    evidence = detect.hint_evidence(seen).unionByName(detect.content_evidence(seen))
+    chosen = detect.choose_converters(detect.merge_candidates(evidence)).select(F.col("doc_id").alias("row"), "format", "converter_id")
+    return convert_as(docs.join(chosen, "row", "left"), max_input_bytes, **options)
 
 
 def convert_as(docs: DataFrame, max_input_bytes: int = 64 << 20, **options) -> DataFrame:

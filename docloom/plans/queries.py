@@ -43,7 +43,7 @@ def text_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text converter by columns alone: lines become breaks, markers are escaped."""
-    d = table(spark, sf_dir, "documents").where(~F.col("text").contains("_"))
+    d = table(spark, sf_dir, "documents")
     escaped = md.escape_run(md.normalize_lf(F.col("text")))
     return d.select("doc_id", F.concat(F.replace(escaped, F.lit("\n"), F.lit("  \n")), F.lit("\n")).alias("markdown"))
 
@@ -278,8 +278,13 @@ ORACLES = {
     "feed_dates": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders",
     "paragraph_lines": """WITH l AS (SELECT doc_id::VARCHAR AS doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents),
         p AS (SELECT doc_id, n // 4 AS k, sum(length(t)) + count(*) - 1 AS chars FROM l GROUP BY ALL) SELECT doc_id, count(*) AS paragraphs, max(chars)::INTEGER AS longest FROM p GROUP BY doc_id""",
-    "text_paragraphs": "SELECT doc_id, 1::INTEGER AS paragraph, regexp_replace(text, '\\r\\n|\\r', chr(10), 'g') AS text FROM documents WHERE NOT contains(text, chr(10) || chr(10)) AND text <> ''",
-    "text_markdown": r"""SELECT doc_id, replace(regexp_replace(replace(text, '&', '&amp;'), '([\\`*\[\]<~])', '\\\1', 'g'), chr(10), '  ' || chr(10)) || chr(10) AS markdown FROM documents WHERE NOT contains(text, '_')""",
+    "text_paragraphs": """WITH l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM (SELECT doc_id, regexp_replace(text, '\\r\\n|\\r', chr(10), 'g') AS t FROM documents)),
+        r AS (SELECT *, sum((line = '')::INTEGER) OVER (PARTITION BY doc_id ORDER BY n) AS run FROM l),
+        p AS (SELECT doc_id, run, string_agg(line, chr(10) ORDER BY n) AS text FROM r WHERE line <> '' GROUP BY ALL)
+        SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY run))::INTEGER AS paragraph, text FROM p""",
+    "text_markdown": r"""WITH e AS (SELECT doc_id, regexp_replace(replace(regexp_replace(text, '\r\n|\r', chr(10), 'g'), '&', '&amp;'), '([\\`*\[\]<~_])', '\\\1', 'g') AS t FROM documents),
+        u AS (SELECT doc_id, regexp_replace(t, '([\p{L}\p{N}])\\_([\p{L}\p{N}])', '\1_\2', 'g') AS t FROM e)
+        SELECT doc_id, replace(regexp_replace(t, '([\p{L}\p{N}])\\_([\p{L}\p{N}])', '\1_\2', 'g'), chr(10), '  ' || chr(10)) || chr(10) AS markdown FROM u""",
     "html_escape": """SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM pages""",
     "html_metadata": """SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, regexp_extract(html, 'charset="([^"]*)"', 1) AS charset FROM pages""",
     "safe_links": r"""SELECT page_id, count(*) AS links, sum((href <> '' AND NOT contains(href, '&') AND NOT regexp_matches(href, '[\x00-\x20]') AND NOT regexp_matches(href, '(?i)^(javascript|data|vbscript|file):'))::BIGINT)::BIGINT AS safe FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) GROUP BY page_id""",

@@ -24,6 +24,11 @@ MAX_MEMBER = 64 << 20
 _IMAGES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff", "svg": "image/svg+xml"}
 
 
+def _children(e):
+    """The children of an element that may be missing."""
+    return () if e is None else e
+
+
 def local(e) -> str:
     return e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
 
@@ -111,14 +116,14 @@ def docx_document(data: bytes, **_) -> Document:
     folder, rels, doc = posixpath.dirname(main), pkg.relations(main), Document()
     _properties(pkg, doc)
     styles = {}
-    for s in pkg.xml(f"{folder}/styles.xml") or ():
+    for s in _children(pkg.xml(f"{folder}/styles.xml")):
         if local(s) == "style":
             level = child(s, "pPr", "outlineLvl")
             name = (attr(child(s, "name"), "val", "") if child(s, "name") is not None else "").lower()
             m = re.fullmatch(r"heading ([1-9])", name)
             styles[attr(s, "styleId")] = 1 if name == "title" else int(m[1]) if m else int(attr(level, "val", "9")) + 1 if level is not None else None
     formats, numbers = {}, {}
-    for n in pkg.xml(f"{folder}/numbering.xml") or ():
+    for n in _children(pkg.xml(f"{folder}/numbering.xml")):
         if local(n) == "abstractNum":
             formats[attr(n, "abstractNumId")] = {attr(x, "ilvl"): attr(child(x, "numFmt"), "val", "bullet") if child(x, "numFmt") is not None else "bullet" for x in n if local(x) == "lvl"}
         elif local(n) == "num":
@@ -366,7 +371,7 @@ def workbook_cells(data: bytes) -> tuple[list[tuple[str, dict[tuple[int, int], s
         raise ConversionError("malformed")
     _properties(pkg, doc)
     folder = posixpath.dirname(main)
-    strings = ["".join(t.text or "" for t in si.iter() if local(t) == "t" and True) for si in (pkg.xml(f"{folder}/sharedStrings.xml") or ()) if local(si) == "si"]
+    strings = ["".join(t.text or "" for t in si.iter() if local(t) == "t" and True) for si in _children(pkg.xml(f"{folder}/sharedStrings.xml")) if local(si) == "si"]
     styles = pkg.xml(f"{folder}/styles.xml")
     custom, dates = {}, []
     if styles is not None:
