@@ -593,3 +593,32 @@ def test_lengths_and_hubs(spark):
     assert recall([r for r in got if r["query_id"] < 800], x) > 0.9
     short = [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 2000]
     assert short == [2000 + 20 * i for i in range(29, 9, -1)]
+
+
+# -- the pipeline ------------------------------------------------------------
+
+
+def test_pipeline_over_nulls_copies_and_leaks(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    vocab = prose(rng, 3000, 3000).split()
+    text = lambda n, extra=(): " ".join(rng.sample(vocab, n) + list(extra))
+    item = text(40)
+    rows = [(i, text(60, ["grumblex", "snarvous"] if i % 5 == 0 else ()), "a") for i in range(300)]
+    rows += [(400, rows[1][1], "b"), (401, rows[1][1], "b"), (401, text(50), "b"), (402, text(30) + " " + item + " " + text(30), "c"), (403, text(40) + " mail jo@site.org", "c"), (404, None, None), (405, "", "c"), (None, text(45), "c")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or ""), {"k": 1}, 7) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, fp map<string,int>, row long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    toxic = {i for i in range(0, 300, 5)}
+    # Of the copies of document 1 one stays, of 401 the other text; 404 and 405 are both wordless.
+    want = Counter([i for i in range(300) if i not in toxic] + [401, 403, 404, None])
+    assert Counter(r["doc_id"] for r in got) == want
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["toxicity", "near_duplicates", "decontamination", "pii", "mixing"]
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
