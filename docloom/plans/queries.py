@@ -165,8 +165,10 @@ def quality_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def node_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("value"))
-    b = table(spark, sf_dir, "orders").where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 7 == 0, "?").otherwise(F.col("o_orderstatus")).alias("value"))
+    """All orders against a copy of which every fifth has another id and every seventh another value."""
+    k = F.col("o_orderkey")
+    a = table(spark, sf_dir, "orders").select(k.alias("id"), F.col("o_orderstatus").alias("value"))
+    b = table(spark, sf_dir, "orders").select(F.when(k % 5 == 0, -k - 1).otherwise(k).alias("id"), F.when(F.col("o_orderkey") % 7 == 0, "?").otherwise(F.col("o_orderstatus")).alias("value"))
     return analysis.node_diff(a, b, ["id"], "value")
 
 
@@ -177,7 +179,8 @@ def orphan_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").withColumn("outcome", F.when(F.col("n_chars") > 3000, "degraded").otherwise("complete"))
-    return d.rollup("lang", "outcome").agg(F.count("*").alias("items"), F.sum("n_chars").alias("chars"))
+    r = plan.report(d.select(F.col("lang").alias("format"), "outcome", F.array().cast("array<string>").alias("assets"), F.col("text").alias("markdown")))
+    return r.select(F.col("format").alias("lang"), "outcome", "items", "chars")
 
 
 def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,9 +322,9 @@ ORACLES = {
     "quality_audit": """WITH e AS (SELECT lang, source, count(*) AS e FROM documents GROUP BY ALL), a AS (SELECT lang, source, count(*) AS a FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY ALL),
         x AS (SELECT e.lang, e.e, coalesce(a.a, 0) AS a FROM e LEFT JOIN a ON e.lang = a.lang AND e.source = a.source)
         SELECT lang, sum(least(e, a))::BIGINT AS tp, sum(e)::BIGINT AS expected, sum(a)::BIGINT AS actual, (CASE WHEN sum(a) = 0 THEN 10000 ELSE sum(least(e, a)) * 10000 // sum(a) END)::BIGINT AS precision_bp, (CASE WHEN sum(e) = 0 THEN 10000 ELSE sum(least(e, a)) * 10000 // sum(e) END)::BIGINT AS recall_bp FROM x GROUP BY lang""",
-    "node_differences": """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'missing' WHEN o_orderkey % 3 = 0 THEN 'unexpected' ELSE 'changed' END AS kind,
-        CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS expected, CASE WHEN o_orderkey % 5 <> 0 THEN (CASE WHEN o_orderkey % 7 = 0 THEN '?' ELSE o_orderstatus END) END AS actual
-        FROM orders WHERE (o_orderkey % 3 <> 0 AND o_orderkey % 5 = 0) OR (o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0) OR (o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 7 = 0)""",
+    "node_differences": """SELECT o_orderkey AS id, 'missing' AS kind, o_orderstatus AS expected, NULL::VARCHAR AS actual FROM orders WHERE o_orderkey % 5 = 0
+        UNION ALL SELECT -o_orderkey - 1, 'unexpected', NULL, CASE WHEN o_orderkey % 7 = 0 THEN '?' ELSE o_orderstatus END FROM orders WHERE o_orderkey % 5 = 0
+        UNION ALL SELECT o_orderkey, 'changed', o_orderstatus, '?' FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 = 0""",
     "orphan_references": "SELECT lang, count(*) AS unlabelled FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY lang",
     "batch_report": "SELECT lang, outcome, count(*) AS items, sum(n_chars)::BIGINT AS chars FROM (SELECT *, CASE WHEN n_chars > 3000 THEN 'degraded' ELSE 'complete' END AS outcome FROM documents) GROUP BY ROLLUP (lang, outcome)",
     "keyset_page": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') < '1997-06-01' OR (strftime(o_orderdate, '%Y-%m-%d') = '1997-06-01' AND o_orderkey < 0) ORDER BY day DESC, o_orderkey DESC LIMIT 100",
