@@ -140,11 +140,33 @@ class Reader:
         self.base = base if base and not urllib.parse.urlsplit(base).query and not urllib.parse.urlsplit(base).fragment else None
         self.diagnostics: list[tuple[str, str, str]] = []
 
-    def inline(self, n: Node, marks: frozenset = ir.NONE, link: str | None = None) -> list[ir.Run]:
+    def inline(self, n: Node) -> list[ir.Run]:
+        """The runs of an element: one space between words, none at edges and breaks."""
+        out: list[ir.Run] = []
+        spaced = True
+
+        def trim() -> None:
+            if out and "break" not in out[-1][1]:
+                out[-1] = (out[-1][0].rstrip(" "), *out[-1][1:])
+                if not out[-1][0]:
+                    out.pop()
+
+        for text, marks, link in self._inline(n):
+            if "break" in marks:
+                trim()
+                out.append((text, marks, link))
+                spaced = True
+            elif text := (text.lstrip(" ") if spaced else text):
+                out.append((text, marks, link))
+                spaced = text.endswith(" ")
+        trim()
+        return out
+
+    def _inline(self, n: Node, marks: frozenset = ir.NONE, link: str | None = None) -> list[ir.Run]:
         out: list[ir.Run] = []
         for c in n.children:
             if isinstance(c, str):
-                s = " ".join(c.split())
+                s = re.sub(r"\s+", " ", c)
                 if s:
                     out.append((s, marks, link))
             elif shut_out(c):
@@ -158,14 +180,14 @@ class Reader:
                 if target and not safe_link(target):
                     self.diagnostics.append(("html.linkUriRejected", "warning", target[:200]))
                     target = ""
-                out += self.inline(c, marks, target or link)
+                out += self._inline(c, marks, target or link)
             elif c.tag in BLOCK and n.tag in BLOCK and c.tag != "img":
                 continue
             elif c.tag == "img":
                 if c.attrs.get("alt"):
                     out.append((c.attrs["alt"], marks, link))
             else:
-                out += self.inline(c, marks | {_MARK[c.tag]} if c.tag in _MARK else marks, link)
+                out += self._inline(c, marks | {_MARK[c.tag]} if c.tag in _MARK else marks, link)
         return out
 
     def blocks(self, n: Node) -> list[dict]:
