@@ -108,7 +108,17 @@ def document_frequencies(docs: DataFrame, index: dict[bytes, int]) -> tuple[np.n
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers start, start + 1, ... of every range, one range after another."""
-    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    start, size = start[size > 0], size[size > 0]
+    out = np.ones(int(size.sum()), dtype=np.int64)
+    if len(out):
+        out[0] = start[0]
+        out[np.cumsum(size)[:-1]] = start[1:] - start[:-1] - size[:-1] + 1
+    return np.cumsum(out, out=out)
+
+
+def _edge(bound: np.ndarray, step: int) -> float:
+    """The step-th largest bound; below all of them if there are no more."""
+    return np.partition(bound, len(bound) - step)[len(bound) - step] if len(bound) > step else 0.0
 
 
 @dataclass
@@ -118,8 +128,7 @@ class Index:
     n: int
     start: np.ndarray  # of each term's list
     size: np.ndarray
-    example: np.ndarray  # the lists
-    weight: np.ndarray
+    posting: np.ndarray  # the lists: an example's number and the bits of its float32 weight, side by side
     row: np.ndarray  # of a frequent term among the block maxima; -1: rare
     most: np.ndarray  # block maxima of the frequent terms
     own_start: np.ndarray  # of each example's frequent terms
@@ -142,32 +151,41 @@ class Index:
         order = np.argsort(term, kind="stable")
         narrow = lambda x: x.astype(np.int32)
         weight = weight.astype(np.float32)
-        return cls(len(sparse), np.cumsum(size) - size, size, narrow(example[order]), weight[order], row, most, np.cumsum(own) - own, own, narrow(row[term[often]]), weight[often])
+        posting = np.empty((len(order), 2), dtype=np.int32)
+        posting[:, 0], posting[:, 1] = example[order], weight[order].view(np.int32)
+        return cls(len(sparse), np.cumsum(size) - size, size, posting.view(np.int64)[:, 0], row, most, np.cumsum(own) - own, own, narrow(row[term[often]]), weight[often])
 
     def nearest(self, ids: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Example numbers and cosines of the k nearest that share a term."""
-        row = self.row[ids]
+        row = self.row.take(ids)
         rare, often = ids[row < 0], row[row >= 0]
-        at = _ranges(self.start[rare], self.size[rare])
-        part = np.bincount(self.example[at], np.repeat(w[row < 0], self.size[rare]) * self.weight[at], self.n)
+        size = self.size.take(rare)
+        got = self.posting.take(_ranges(self.start.take(rare), size)).view(np.int32).reshape(-1, 2)
+        add = np.repeat(w[row < 0], size)
+        add *= got[:, 1].view(np.float32)
+        part = np.bincount(got[:, 0], add, self.n)
         bound = part + np.repeat(w[row >= 0] @ self.most[often], BLOCK)[: self.n]
         if skip >= 0:
             bound[skip] = 0.0
         query = np.zeros(len(self.most))
         query[often] = w[row >= 0]
         near, sims, step = np.zeros(0, dtype=np.int64), np.zeros(0), 4 * k
-        left = np.flatnonzero(bound > 0)
-        while len(left):
-            # Those of the largest bounds first; all that share the last of them go along.
-            now = bound[left] >= (np.partition(bound[left], len(left) - step)[len(left) - step] if len(left) > step else 0.0)
-            e, left = left[now], left[~now]
-            at = _ranges(self.own_start[e], self.own_size[e])
-            s = part[e] + np.bincount(np.repeat(np.arange(len(e)), self.own_size[e]), query[self.own_row[at]] * self.own_weight[at], len(e))
+        floor = np.nextafter(0.0, 1.0)
+        edge = _edge(bound, step)
+        # Those of the largest bounds first; all that share the last of them go along.
+        e = np.flatnonzero(bound >= max(edge, floor))
+        while len(e):
+            size = self.own_size.take(e)
+            at = _ranges(self.own_start.take(e), size)
+            s = part[e] + np.bincount(np.repeat(np.arange(len(e)), size), query.take(self.own_row.take(at)) * self.own_weight.take(at), len(e))
             near, sims = np.concatenate([near, e[s > 0]]), np.concatenate([sims, s[s > 0]])
             best = np.lexsort((near, -sims))[:k]
             near, sims, step = near[best], sims[best], step * 2
             if len(near) == k:
-                left = left[bound[left] >= sims[-1] - 1e-12]
+                floor = max(floor, sims[-1] - 1e-12)
+            left = np.flatnonzero((bound < edge) & (bound >= floor))
+            edge = _edge(bound[left], step)
+            e = left[bound[left] >= edge]
         return near, sims
 
 
