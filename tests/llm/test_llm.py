@@ -6,6 +6,7 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 from zlib import crc32
 
 import numpy as np
@@ -13,6 +14,7 @@ import pytest
 import xxhash
 
 from docloom.llm import ann, chat, decontam, html_extract, lm, mixing, pii, simhash, toxicity, urlfilter
+from docloom.session import shared_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp long, score double, row string"
 
@@ -585,6 +587,28 @@ def test_graph_rounds_go_on_until_it_is_settled(spark):
     assert np.mean([int(j) in got[i] for i in range(len(x)) for j in best[i]]) > 0.95
 
 
+def test_a_search_in_slices_leaves_nothing_behind_and_finds_as_much(spark, monkeypatch):
+    x = unit_rows(1200, 16, 19)
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    folder = Path(shared_dir(spark)) / "docloom" / spark.sparkContext.applicationId
+    before, seen = set(folder.glob("*")), []
+
+    def cut(df, tag, *spent, real=ann.cut):
+        out = real(df, tag, *spent)
+        seen.append(Counter(p.name.rsplit("-", 1)[0] for p in set(folder.glob("*")) - before))
+        return out
+
+    monkeypatch.setattr(ann, "cut", cut)
+    got = ann.nearest(table, every=2, cell=100, trees=3, part=200, at_once=1 << 20, together=1).collect()
+    most = Counter()
+    for held in seen:
+        most |= held
+    assert most["ann-graph"] == most["ann-state"] == most["ann-wanted"] == most["ann-found"] == 1  # the tables that a round replaces are gone
+    assert most["ann-links"] > 1 and most["ann-scored"] > 1  # slices and searches
+    assert {p.name.rsplit("-", 1)[0] for p in set(folder.glob("*")) - before} == {"ann-queries", "ann-scored"}
+    assert recall(got, x, every=2) > 0.95
+
+
 def test_lengths_and_hubs(spark):
     x = unit_rows(800, 16, 17) * np.random.default_rng(18).lognormal(0, 3, 800)[:, None]
     rows = [(i, v) for i, v in enumerate(x.tolist())] + [(2000 + 20 * i, [float(i + 1), 1.0, 2.0]) for i in range(30)]
