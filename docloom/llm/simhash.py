@@ -1,14 +1,17 @@
 """SimHash near-duplicates, linked exactly through vantage-point trees.
 
-Every document gets a 64-bit fingerprint of its whole text.  Distinct
-fingerprints are dealt into shards by a vantage-point tree over Hamming
-distance, fitted on a bounded sample: a node holds a vantage point v and a
-radius mu, and a fingerprint x lives inside if d(v, x) <= mu, else outside.
-By the triangle inequality a fingerprint within `radius` of x can live on the
-other side only if |d(v, x) - mu| lies within the radius; x is sent there as a
-visitor.  So every linked pair meets in the shard where one of them lives, and
-none is lost.  Within a shard the same recursion goes on until blocks are small
-enough to be compared directly.
+Every document gets a 64-bit fingerprint of its whole text.  The bits are
+dealt to radius + 1 masks: fingerprints that differ in `radius` bits at most
+agree on one of the masks.  For each mask the distinct fingerprints are dealt
+into shards by a vantage-point tree over the Hamming distance on its bits,
+fitted on a bounded sample: a node holds a vantage point v and a radius mu, and
+a fingerprint x lives inside if d(v, x) <= mu, else outside.  Those that agree
+on the mask are at one distance from every v, so they always live together: a
+fingerprint has one copy a mask at any size of the table, nobody visits, and
+every linked pair meets in a shard.  Shards that hold too much are dealt by
+trees of their own; where all of a shard agree on its mask, the bits that vary
+in it are dealt to masks anew.  Within a shard the same goes on until blocks
+are small enough to be compared directly.
 
 A shard reports a spanning star of each group it finds, never the pairs, and
 the stars of all shards are joined by `graph.stars`.
@@ -32,20 +35,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from docloom.llm.graph import stars
+from docloom.llm.graph import hook, stars
 from docloom.session import cut, small_batches, spread
 
 SHINGLE = 3
 RADIUS = 2
 SEED = 42
-#: Distinct fingerprints that a shard should hold; sampled fingerprints that the tree is fitted on.
+#: Distinct fingerprints that a shard should hold; sampled fingerprints that the trees are fitted on.
 SHARD = 8192
 SAMPLE = 16384
-#: A shard of more than OVERFULL * SHARD gets a tree of its own, on at most SHARD_SAMPLE of its points, up to LEVELS deep.
+#: A shard of more than OVERFULL * SHARD gets a tree of its own, on some SHARD_SAMPLE of its points.
 OVERFULL = 4
 SHARD_SAMPLE = 2048
-LEVELS = 4
+#: Levels of a tree; points that are compared directly; rows that are dealt, or shingles that are hashed, at once.
+DEPTH = 64
+DIRECT = 1024
 BLOCK = 1 << 16
+ALL = (1 << 64) - 1
+DEALT = "shard int, bits long, fp long"
 
 
 def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
@@ -74,34 +81,39 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))).mapInArrow(run, "doc_id long, fp long")
 
 
-def _split(points: np.ndarray, seen: np.ndarray, radius: int, rng: np.random.Generator):
-    """The vantage point and radius of least expected work among a few candidates, and that work (1: nothing gained)."""
-    best = (1.0, 0, 0)
-    some, around = (x if len(x) <= 2048 else rng.choice(x, 2048, replace=False) for x in (points, seen))
-    for v in rng.choice(some, min(12, len(some)), replace=False):
-        home = np.bincount(np.bitwise_count(some ^ v), minlength=65).cumsum() / len(some)
-        here = np.bincount(np.bitwise_count(around ^ v), minlength=65).cumsum() / len(around)
-        mu = np.arange(65)
-        near, far = here[np.minimum(mu + radius, 64)], 1 - np.where(mu >= radius, here[np.maximum(mu - radius, 0)], 0)
-        cost = home * near + (1 - home) * far
-        k = int(cost.argmin())
-        if cost[k] < best[0]:
-            best = (float(cost[k]), v, k)
-    return best
+def shares(bits: int, radius: int = RADIUS) -> list[int]:
+    """The bits of a mask, dealt to radius + 1 masks: fingerprints that differ in `radius` of the bits at most agree on one mask."""
+    at = [b for b in range(64) if bits >> b & 1]
+    return [sum(1 << b for b in at[i :: radius + 1]) for i in range(radius + 1)]
 
 
-def grow(points: np.ndarray, leaf: int, radius: int, seed: int = 7) -> list[tuple]:
+def _varying(x: np.ndarray) -> int:
+    """The bits in which some of the fingerprints differ."""
+    return int(np.bitwise_or.reduce(x) ^ np.bitwise_and.reduce(x)) if len(x) else 0
+
+
+def _split(points: np.ndarray, mask: int, rng: np.random.Generator, sample: int = 2048, tries: int = 12) -> tuple[np.uint64, int]:
+    """The vantage point and radius, of a few candidates, that halve the points best; where none divides the sample, a point and zero."""
+    some = points if len(points) <= sample else points[rng.integers(0, len(points), sample)]
+    v = some[rng.integers(0, len(some), tries)]
+    d = np.bitwise_count((some[None, :] ^ v[:, None]) & np.uint64(mask)) + 65 * np.arange(tries)[:, None]
+    home = np.bincount(d.ravel(), minlength=65 * tries).reshape(tries, 65).cumsum(axis=1) / len(some)
+    at, mu = divmod(int(np.abs(home - 0.5).argmin()), 65)
+    return (v[at], mu) if home[at, mu] < 1 else (v[0], 0)
+
+
+def grow(points: np.ndarray, mask: int, leaf: int, seed: int = 7) -> list[tuple]:
     """A tree as a list of nodes: (vantage point, mu, inside, outside), or (None, shard)."""
     rng, nodes, shard = np.random.default_rng(seed), [], itertools.count()
 
     def add(x: np.ndarray, depth: int) -> int:
         at = len(nodes)
         nodes.append(None)
-        cost, v, mu = _split(x, x, radius, rng) if len(x) > leaf and depth < 16 else (1.0, 0, 0)
-        if cost > 0.95:
+        if len(x) <= leaf or depth == DEPTH or not _varying(x) & mask:
             nodes[at] = (None, next(shard))
             return at
-        inside = np.bitwise_count(x ^ v) <= mu
+        v, mu = _split(x, mask, rng)
+        inside = np.bitwise_count((x ^ v) & np.uint64(mask)) <= mu
         nodes[at] = (int(v), mu, add(x[inside], depth + 1), add(x[~inside], depth + 1))
         return at
 
@@ -109,24 +121,22 @@ def grow(points: np.ndarray, leaf: int, radius: int, seed: int = 7) -> list[tupl
     return nodes
 
 
-def route(nodes: list[tuple], x: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(shard, indices of x that come there, whether they live there)."""
-    todo = [(0, np.arange(len(x)), np.ones(len(x), dtype=bool))]
+def route(nodes: list[tuple], x: np.ndarray, mask: int) -> np.ndarray:
+    """The shard in which each fingerprint lives."""
+    shard, todo = np.zeros(len(x), dtype=np.int32), [(0, np.arange(len(x)))]
     while todo:
-        at, who, lives = todo.pop()
-        if not len(who):
-            continue
+        at, who = todo.pop()
         if nodes[at][0] is None:
-            yield nodes[at][1], who, lives
-            continue
-        v, mu, inside, outside = nodes[at]
-        d = np.bitwise_count(x[who] ^ np.uint64(v)).astype(np.int16)
-        for to, goes, home in ((inside, d <= mu + radius, d <= mu), (outside, d > mu - radius, d > mu)):
-            todo.append((to, who[goes], (lives & home)[goes]))
+            shard[who] = nodes[at][1]
+        elif len(who):
+            v, mu, inside, outside = nodes[at]
+            home = np.bitwise_count((x[who] ^ np.uint64(v)) & np.uint64(mask)) <= mu
+            todo += [(inside, who[home]), (outside, who[~home])]
+    return shard
 
 
-def local_stars(x: np.ndarray, lives: np.ndarray, radius: int) -> np.ndarray:
-    """For each point of a shard the index of the least point of its group (links from residents to all)."""
+def local_stars(x: np.ndarray, mask: int, radius: int) -> np.ndarray:
+    """For each point of a shard the index of the least point of its group (all links between points that agree on the mask)."""
     label, rng, held = np.arange(len(x)), np.random.default_rng(11), [[], [], 0]
 
     def join() -> None:
@@ -134,102 +144,124 @@ def local_stars(x: np.ndarray, lives: np.ndarray, radius: int) -> np.ndarray:
             return
         a, b = np.concatenate(held[0]), np.concatenate(held[1])
         held[0], held[1], held[2] = [], [], 0
-        while True:
-            p, q = label[a], label[b]
-            apart = p != q
-            if not apart.any():
-                return
-            a, b, p, q = a[apart], b[apart], p[apart], q[apart]
-            np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
-            while (label[label] != label).any():
-                label[:] = label[label]
-
-    def compare(home: np.ndarray, all_: np.ndarray) -> None:
-        step = max(1, (1 << 20) // max(1, len(all_)))
-        for i in range(0, len(home), step):
-            h = home[i : i + step]
-            r, c = np.nonzero(np.bitwise_count(x[h][:, None] ^ x[all_][None, :]) <= radius)
-            other = h[r] != all_[c]
-            if other.any():
-                held[0].append(h[r][other])
-                held[1].append(all_[c][other])
-                held[2] += int(other.sum())
-                if held[2] > 1 << 20:
-                    join()
-
-    todo = [(np.flatnonzero(lives), np.arange(len(x)))]
+        hook(label, a, b)
+
+    def hold(a: np.ndarray, b: np.ndarray) -> None:
+        held[0].append(a)
+        held[1].append(b)
+        held[2] += len(a)
+        if held[2] > 1 << 20:
+            join()
+
+    todo = [(np.arange(len(x)), mask)]
     while todo:
-        home, all_ = todo.pop()
-        if not len(home):
-            continue
-        cost, v, mu = _split(x[home], x[all_], radius, rng) if len(home) * len(all_) > 1 << 20 else (1.0, 0, 0)
-        if cost > 0.9:
-            compare(home, all_)
-            continue
-        dh, da = (np.bitwise_count(x[k] ^ v).astype(np.int16) for k in (home, all_))
-        todo += [(home[dh <= mu], all_[da <= mu + radius]), (home[dh > mu], all_[da > mu - radius])]
+        who, bits = todo.pop()
+        y = x[who]
+        if len(who) <= DIRECT:
+            r, c = np.nonzero(np.bitwise_count(y[:, None] ^ y[None, :]) <= radius)
+            hold(who[r[r < c]], who[c[r < c]])
+        elif (varying := _varying(y)) & bits:
+            v, mu = _split(y, bits, rng, 512, 4)
+            home = np.bitwise_count((y ^ v) & np.uint64(bits)) <= mu
+            todo += [(who[home], bits), (who[~home], bits)]
+        elif varying.bit_count() <= radius:
+            hold(who, np.full(len(who), who[0]))
+        else:  # they agree on the mask: what varies is dealt to masks again
+            todo += [(who, share) for share in shares(varying, radius)]
     join()
     return label
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = BLOCK) -> Iterator[list[np.ndarray]]:
+    """The columns of some `rows` rows at a time, as a tree's nodes cost the same for many rows as for few."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(batch.num_columns)]
+            held, n = [], 0
+    if n:
+        yield [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(held[0].num_columns)]
+
+
+def _dealt(shard: np.ndarray, bits: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(bits.view(np.int64)), pa.array(x.view(np.int64))], ["shard", "bits", "fp"])
+
+
+def _planted(masks: list[int], points: np.ndarray, leaf: int, free: int) -> tuple[list[tuple], int]:
+    """(mask, tree, its first shard's number) for each mask, and the next free number."""
+    trees = []
+    for mask in masks:
+        nodes = grow(points, mask, leaf)
+        trees.append((mask, nodes, free))
+        free += sum(node[0] is None for node in nodes)
+    return trees, free
+
+
 def link(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
     """Distinct fp -> (a, b): each fp that is linked to others, and the least one of its component."""
     n = fps.count()
     every = max(8, -(-n // sample))
     some = np.array([r[0] for r in fps.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).collect()], dtype=np.int64).view(np.uint64)
-    nodes = grow(some, max(16, shard // every), radius) if len(some) else [(None, 0)]
+    trees, free = _planted(shares(ALL, radius), some, max(16, shard // every), 0)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column(0).to_numpy().view(np.uint64)
-            for to, who, lives in route(nodes, x, radius):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), to, dtype=np.int32)), pa.array(x[who].view(np.int64)), pa.array(lives)], ["shard", "fp", "lives"])
+        for (fp,) in _gathered(batches):
+            x = fp.view(np.uint64)
+            for mask, nodes, first in trees:
+                yield _dealt(route(nodes, x, mask) + np.int32(first), np.full(len(x), mask, dtype=np.uint64), x)
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf["fp"].to_numpy().view(np.uint64)
-        label = local_stars(x, pdf["lives"].to_numpy(), radius)
+        label = local_stars(x, int(pdf["bits"].to_numpy()[:1].view(np.uint64)[0]), radius)
         linked = label != np.arange(len(x))
         fp = x.view(np.int64)
         return pd.DataFrame({"a": fp[linked], "b": fp[label[linked]]})
 
-    dealt = cut(fps.select("fp").mapInArrow(deal, "shard int, fp long, lives boolean"), "simhash-dealt")
-    for _ in range(LEVELS):
-        finer = split_again(dealt, radius, shard)
-        if finer is None:
-            break
-        dealt = cut(finer, "simhash-dealt")
+    dealt = cut(spread(fps.select("fp")).mapInArrow(deal, DEALT), "simhash-dealt")
+    while (finer := split_again(dealt, radius, shard, free)) is not None:
+        dealt, free = cut(finer[0], "simhash-dealt", dealt), finer[1]
     return stars(dealt.groupBy("shard").applyInPandas(pairs, "a long, b long"), "simhash-links")
 
 
-def split_again(dealt: DataFrame, radius: int, shard: int) -> DataFrame | None:
-    """Shards that hold too much, dealt by trees of their own; None if there is none, or none that a tree divides."""
-    sizes = {r["shard"]: r["count"] for r in dealt.groupBy("shard").count().collect()}  # a row a shard
-    big = {k: -(-n // SHARD_SAMPLE) for k, n in sizes.items() if n > OVERFULL * shard}
+def split_again(dealt: DataFrame, radius: int, shard: int, free: int) -> tuple[DataFrame, int] | None:
+    """Shards that hold too much, dealt by trees of their own, and the next free number; None if there is none.
+
+    A shard whose points agree on its mask goes on by what varies among them.
+    """
+    sizes = dealt.groupBy("shard", "bits").agg(F.count("*").alias("n"), F.bit_or("fp").alias("some"), F.bit_and("fp").alias("all"))
+    big = {r["shard"]: r for r in sizes.where(F.col("n") > OVERFULL * shard).collect()}
+    big = {k: r for k, r in big.items() if ((r["some"] ^ r["all"]) & ALL).bit_count() > radius}
     if not big:
         return None
-    every = F.create_map(*(F.lit(x) for pair in big.items() for x in pair))[F.col("shard")]
+    every = F.create_map(*(F.lit(x) for k, r in big.items() for x in (k, -(-r["n"] // SHARD_SAMPLE))))[F.col("shard")]
     some = dealt.where(F.col("shard").isin(list(big)) & (F.pmod(F.xxhash64("fp", "shard"), every) == 0)).select("shard", "fp").toArrow()
     of, points = some.column("shard").to_numpy(), some.column("fp").to_numpy().view(np.uint64)
-    trees, first, free = {}, {}, max(sizes) + 1
-    for k, n in big.items():
-        nodes = grow(points[of == k], max(16, shard // n), radius, seed=k)
-        if len(nodes) > 1:
-            trees[k], first[k] = nodes, free
-            free += len(nodes)
+    trees = {}
+    for k, r in big.items():
+        varying, mine = (r["some"] ^ r["all"]) & ALL, points[of == k]
+        masks = [r["bits"] & ALL] if varying & r["bits"] else shares(varying, radius)
+        if len(mine):
+            trees[k], free = _planted(masks, mine, max(16, shard * len(mine) // r["n"]), free)
+            for i, (mask, nodes, first) in enumerate(trees[k]):
+                if len(nodes) == 1:  # the sample agrees on the mask, not all of the shard does
+                    trees[k][i] = (mask, [(int(mine[0]), 0, 1, 2), (None, 0), (None, free - first)], first)
+                    free += 1
     if not trees:
         return None
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, x, home = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)
-            for k in np.unique(at).tolist():
-                mine = np.flatnonzero(at == k)
-                parts = route(trees[k], x[mine], radius) if k in trees else [(0, np.arange(len(mine)), np.ones(len(mine), dtype=bool))]
-                for to, who, lives in parts:
-                    rows = mine[who]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), first.get(k, k) + to, dtype=np.int32)), pa.array(x[rows].view(np.int64)), pa.array(lives & home[rows])], ["shard", "fp", "lives"])
-
-    return dealt.mapInArrow(deal, "shard int, fp long, lives boolean")
+        for at, bits, fp in _gathered(batches):
+            x = fp.view(np.uint64)
+            rest = ~np.isin(at, list(trees))
+            yield _dealt(at[rest], bits[rest], x[rest])
+            for k in np.unique(at[~rest]).tolist():
+                mine = x[at == k]
+                for mask, nodes, first in trees[k]:
+                    yield _dealt(route(nodes, mine, mask) + np.int32(first), np.full(len(mine), mask, dtype=np.uint64), mine)
+
+    return dealt.mapInArrow(deal, DEALT), free
 
 
 def roots_of(least: DataFrame, radius: int) -> DataFrame:

@@ -14,6 +14,7 @@ import pytest
 import xxhash
 
 from docloom.llm import ann, chat, decontam, html_extract, lm, mixing, pii, simhash, toxicity, urlfilter
+from docloom.llm.graph import stars
 from docloom.session import shared_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp long, score double, row string"
@@ -125,6 +126,44 @@ def test_shards_lose_no_link(spark):
     assert got == {f: min(g) for g in groups.values() for f in g if f != min(g)}
 
 
+def test_a_fingerprint_has_one_copy_a_mask(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    fps = np.unique(rng.integers(0, 1 << 64, 20_000, dtype=np.uint64))
+    near = np.setdiff1d(fps[:200] ^ np.uint64(1 << 5 | 1 << 41), fps)
+    table = spark.createDataFrame([(x,) for x in np.concatenate([fps, near]).view(np.int64).tolist()], "fp long")
+    sizes, real = [], simhash.cut
+
+    def counted(df, tag, *spent):
+        out = real(df, tag, *spent)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "cut", counted)
+    got = {frozenset((r["a"], r["b"])) for r in simhash.link(table, shard=64).collect()}
+    assert got == {frozenset(p) for p in zip(near.view(np.int64).tolist(), fps[:200].view(np.int64).tolist(), strict=True)}
+    assert max(sizes) == (len(fps) + len(near)) * (simhash.RADIUS + 1)
+
+
+def test_shards_that_agree_on_a_mask(spark):
+    dense = np.arange(4096, dtype=np.uint64) << np.uint64(52)  # 12 bits vary
+    table = spark.createDataFrame([(x,) for x in dense.view(np.int64).tolist()], "fp long")
+    least = int(dense.view(np.int64).min())
+    want = {x: least for x in dense.view(np.int64).tolist() if x != least}
+    assert {r["a"]: r["b"] for r in simhash.link(table, shard=24, sample=40).collect()} == want
+    label = simhash.local_stars(dense, 1, simhash.RADIUS)  # all agree on the lowest bit
+    assert (label == 0).all()
+
+
+def test_stars_at_once_and_in_rounds(spark):
+    rng = np.random.default_rng(6)
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, int(x)) for x in rng.integers(101, 200, 80)] + [(-5, 7), (300, 300)]
+    table = spark.createDataFrame(edges, "a long, b long")
+    at_once, rounds = ({(r["a"], r["b"]) for r in stars(table, at_once=n).collect()} for n in (1000, 0))
+    assert at_once == rounds
+    assert {b for _, b in rounds} == {-5, 100}
+    assert stars(table.limit(0)).count() == 0
+
+
 def test_keep_one(spark):
     rows = [(5, "a b c d e f", "s"), (3, "a b c d e f", "s"), (3, "a b c d e f", "s"), (9, "quite another text it is", "s"), (None, "z z z", "s")]
     kept = simhash.keep_one(docs_of(spark, rows))
