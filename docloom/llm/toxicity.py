@@ -38,10 +38,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.session import cut, small_batches, spread
+from docloom.session import cut, release, small_batches, spread
 
 EXAMPLES = 4096
 BLOCK = 16
@@ -139,21 +140,24 @@ class Index:
     @classmethod
     def of(cls, sparse: list[tuple[np.ndarray, np.ndarray]], n_terms: int, frequent: int = FREQUENT) -> Index:
         sizes = np.array([len(t) for t, _ in sparse], dtype=np.int64)
-        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in sparse)])
+        term = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in sparse)], dtype=np.int32, casting="same_kind")
         weight = np.concatenate([np.zeros(0), *(w for _, w in sparse)])
-        example = np.repeat(np.arange(len(sparse)), sizes)
+        example = np.repeat(np.arange(len(sparse), dtype=np.int32), sizes)
         size = np.bincount(term, minlength=n_terms)
         row = np.where(size >= frequent, np.cumsum(size >= frequent) - 1, -1)
-        often = row[term] >= 0
+        often = np.flatnonzero((size >= frequent)[term])
+        own_row, of = row[term[often]].astype(np.int32), example[often]
         most = np.zeros((int((row >= 0).sum()), -(-max(1, len(sparse)) // BLOCK)))
-        np.maximum.at(most, (row[term[often]], example[often] // BLOCK), weight[often])
-        own = np.bincount(example[often], minlength=len(sparse))
-        order = np.argsort(term, kind="stable")
-        narrow = lambda x: x.astype(np.int32)
+        np.maximum.at(most, (own_row, of // BLOCK), weight[often])
+        own = np.bincount(of, minlength=len(sparse))
         weight = weight.astype(np.float32)
+        own_weight = weight[often]
+        order = np.argsort(term, kind="stable")
+        del term  # the driver has little memory for what the arrays are made of
         posting = np.empty((len(order), 2), dtype=np.int32)
-        posting[:, 0], posting[:, 1] = example[order], weight[order].view(np.int32)
-        return cls(len(sparse), np.cumsum(size) - size, size, posting.view(np.int64)[:, 0], row, most, np.cumsum(own) - own, own, narrow(row[term[often]]), weight[often])
+        posting[:, 0] = example[order]
+        posting[:, 1] = weight[order].view(np.int32)
+        return cls(len(sparse), np.cumsum(size) - size, size, posting.view(np.int64)[:, 0], row, most, np.cumsum(own) - own, own, own_row, own_weight)
 
     def nearest(self, ids: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Example numbers and cosines of the k nearest that share a term."""
@@ -295,6 +299,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES, k: int =
         w = n * weights[t]
         order = np.argsort(t)
         sparse.append((t[order], w[order] / max(np.sqrt(w @ w), 1e-300)))
+    del term, tf, size, held, t, n
     # Examples that share their weightiest term lie together, so that blocks have telling maxima.
     first = np.array([t[w.argmax()] if len(t) else -1 for t, w in sparse])
     order = np.lexsort((np.arange(len(first)), first, toxic))
@@ -307,9 +312,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES, k: int =
     return model
 
 
+def share(docs: DataFrame, labels: DataFrame) -> Broadcast:
+    """The fitted model, broadcast; the driver keeps no memory of it in Python."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    release()
+    return shared
+
+
 def score(docs: DataFrame, labels: DataFrame, cut_at: float = CUT, evidence: int = 3) -> DataFrame:
     """doc_id, held_out, score, predicted and the nearest examples (ids, cosines) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    shared = share(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -326,7 +338,7 @@ def score(docs: DataFrame, labels: DataFrame, cut_at: float = CUT, evidence: int
 
 def keep_clean(docs: DataFrame, labels: DataFrame, cut_at: float = CUT) -> DataFrame:
     """The rows of `docs` that are not predicted toxic, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    shared = share(docs, labels)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ import html
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 from zlib import crc32
@@ -126,6 +127,18 @@ def test_shards_lose_no_link(spark):
     assert got == {f: min(g) for g in groups.values() for f in g if f != min(g)}
 
 
+def test_index_of_examples_needs_little_memory():
+    rng = np.random.default_rng(1)
+    sparse = [(np.sort(rng.choice(20_000, 1000, replace=False)), rng.random(1000)) for _ in range(500)]
+    tracemalloc.start()
+    index = toxicity.Index.of(sparse, 20_000, 40)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert index.posting.nbytes == 8 * 500_000
+    assert (index.row >= 0).any()
+    assert peak < 40 * 500_000  # bytes a posting; 50 where numbers of 64 bits were kept to the end
+
+
 def test_a_fingerprint_has_one_copy_a_mask(spark, monkeypatch):
     rng = np.random.default_rng(4)
     fps = np.unique(rng.integers(0, 1 << 64, 20_000, dtype=np.uint64))
