@@ -33,6 +33,7 @@ import itertools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,8 @@ from pyspark.sql import functions as F
 from docloom.session import cut, release, small_batches, spread
 
 EXAMPLES = 4096
-BLOCK = 16
-FREQUENT = 1024
+BLOCK = 8
+FREQUENT = 2048
 NEAREST = 16
 #: The cut of `predicted`; the least `telling`; the chi-square at which it is a half; the prior's weight in a vote.
 CUT = 0.3
@@ -55,6 +56,8 @@ CHI2 = 40.0
 PRIOR = 0.5
 #: Texts whose scores a task keeps at hand, for their copies.
 SEEN = 1 << 15
+#: Words that a task counts before it looks them up.
+HELD = 1 << 18
 _CLEAN = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256)).lower()
 
 
@@ -93,10 +96,20 @@ def document_frequencies(docs: DataFrame, index: dict[bytes, int]) -> tuple[np.n
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, n = shared.value, 0
         df = np.zeros(len(index) + 1, dtype=np.int64)
+        held: Counter[bytes] = Counter()  # of texts since the last time; a word is looked up once for them
+
+        def settle() -> None:
+            at = np.fromiter(map(index.get, held, itertools.repeat(len(index))), dtype=np.int64, count=len(held))
+            np.add.at(df, at, np.fromiter(held.values(), dtype=np.int64, count=len(held)))
+            held.clear()
+
         for batch in batches:
             n += batch.num_rows
             for text in batch.column(0):
-                df[[index[w] for w in index.keys() & set(words(text.as_py()))]] += 1
+                held.update(set(words(text.as_py())))
+                if len(held) > HELD:
+                    settle()
+        settle()
         df[-1] = n
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], ["term", "n"])
@@ -107,14 +120,10 @@ def document_frequencies(docs: DataFrame, index: dict[bytes, int]) -> tuple[np.n
     return df[:-1], int(df[-1])
 
 
-def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The numbers start, start + 1, ... of every range, one range after another."""
-    start, size = start[size > 0], size[size > 0]
-    out = np.ones(int(size.sum()), dtype=np.int64)
-    if len(out):
-        out[0] = start[0]
-        out[np.cumsum(size)[:-1]] = start[1:] - start[:-1] - size[:-1] + 1
-    return np.cumsum(out, out=out)
+def _lists(start: np.ndarray, items: np.ndarray) -> pa.LargeBinaryArray:
+    """`items` of 8 bytes as the lists that begin at `start`, without a copy; Arrow gathers whole lists."""
+    ends = np.append(start, len(items)).astype(np.int64) * 8
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(items)])
 
 
 def _edge(bound: np.ndarray, step: int) -> float:
@@ -132,10 +141,7 @@ class Index:
     posting: np.ndarray  # the lists: an example's number and the bits of its float32 weight, side by side
     row: np.ndarray  # of a frequent term among the block maxima; -1: rare
     most: np.ndarray  # block maxima of the frequent terms
-    own_start: np.ndarray  # of each example's frequent terms
-    own_size: np.ndarray
-    own_row: np.ndarray
-    own_weight: np.ndarray
+    own: np.ndarray  # each example's weights of the frequent terms
 
     @classmethod
     def of(cls, sparse: list[tuple[np.ndarray, np.ndarray]], n_terms: int, frequent: int = FREQUENT) -> Index:
@@ -146,28 +152,39 @@ class Index:
         size = np.bincount(term, minlength=n_terms)
         row = np.where(size >= frequent, np.cumsum(size >= frequent) - 1, -1)
         often = np.flatnonzero((size >= frequent)[term])
-        own_row, of = row[term[often]].astype(np.int32), example[often]
+        at, of = row[term[often]], example[often]
         most = np.zeros((int((row >= 0).sum()), -(-max(1, len(sparse)) // BLOCK)))
-        np.maximum.at(most, (own_row, of // BLOCK), weight[often])
-        own = np.bincount(of, minlength=len(sparse))
         weight = weight.astype(np.float32)
-        own_weight = weight[often]
+        np.maximum.at(most, (at, of // BLOCK), weight[often])
+        own = np.zeros((len(sparse), len(most)), dtype=np.float32)
+        own[of, at] = weight[often]
         order = np.argsort(term, kind="stable")
         del term  # the driver has little memory for what the arrays are made of
         posting = np.empty((len(order), 2), dtype=np.int32)
         posting[:, 0] = example[order]
         posting[:, 1] = weight[order].view(np.int32)
-        return cls(len(sparse), np.cumsum(size) - size, size, posting.view(np.int64)[:, 0], row, most, np.cumsum(own) - own, own, own_row, own_weight)
+        return cls(len(sparse), np.cumsum(size) - size, size, posting.view(np.int64)[:, 0], row, most, own)
+
+    @cached_property
+    def lists(self) -> pa.LargeBinaryArray:
+        return _lists(self.start, self.posting)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "lists"}
 
     def nearest(self, ids: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Example numbers and cosines of the k nearest that share a term."""
         row = self.row.take(ids)
-        rare, often = ids[row < 0], row[row >= 0]
+        often = row[row >= 0]
+        rare = ids[row < 0]
         size = self.size.take(rare)
-        got = self.posting.take(_ranges(self.start.take(rare), size)).view(np.int32).reshape(-1, 2)
-        add = np.repeat(w[row < 0], size)
-        add *= got[:, 1].view(np.float32)
-        part = np.bincount(got[:, 0], add, self.n)
+        n = int(size.sum())
+        part = np.zeros(self.n)
+        if n:
+            got = np.frombuffer(self.lists.take(pa.array(rare)).buffers()[2], dtype=np.int32, count=2 * n).reshape(-1, 2)
+            add = np.repeat(w[row < 0], size)
+            add *= got[:, 1].view(np.float32)
+            part = np.bincount(got[:, 0].astype(np.intp), add, self.n)
         bound = part + np.repeat(w[row >= 0] @ self.most[often], BLOCK)[: self.n]
         if skip >= 0:
             bound[skip] = 0.0
@@ -179,9 +196,8 @@ class Index:
         # Those of the largest bounds first; all that share the last of them go along.
         e = np.flatnonzero(bound >= max(edge, floor))
         while len(e):
-            size = self.own_size.take(e)
-            at = _ranges(self.own_start.take(e), size)
-            s = part[e] + np.bincount(np.repeat(np.arange(len(e)), size), query.take(self.own_row.take(at)) * self.own_weight.take(at), len(e))
+            # Every row is added up in the same way, so that copies tie.
+            s = part[e] + (self.own[e] * query).sum(axis=1)
             near, sims = np.concatenate([near, e[s > 0]]), np.concatenate([sims, s[s > 0]])
             best = np.lexsort((near, -sims))[:k]
             near, sims, step = near[best], sims[best], step * 2

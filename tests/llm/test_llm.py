@@ -3,6 +3,7 @@
 import hashlib
 import html
 import math
+import pickle
 import random
 import re
 import tracemalloc
@@ -338,6 +339,35 @@ def test_block_max_search_is_exact():
             assert np.allclose(got, sims[want], atol=1e-6) and len(at) == len(want)
 
 
+def test_lists_are_gathered_without_a_copy_and_maxima_are_bounds():
+    rng = np.random.default_rng(3)
+    sparse = []
+    for _ in range(300):
+        at = np.flatnonzero(rng.random(40) < 0.5)
+        sparse.append((at, rng.random(len(at))))
+    index = toxicity.Index.of(sparse, 40, 150)
+    assert 0 < len(index.most) < 40
+    for e, (at, w) in enumerate(sparse):
+        often = index.row[at] >= 0
+        assert (index.most[index.row[at[often]], e // toxicity.BLOCK] >= w[often].astype(np.float32)).all()  # as weights are kept
+    before = len(pickle.dumps(index))
+    assert index.nearest(*sparse[5], 1)[0].tolist() == [int(np.argmax([sum(dict(zip(*x, strict=True)).get(t, 0) * v for t, v in zip(*sparse[5], strict=True)) for x in sparse]))]
+    assert index.lists.buffers()[2].address == index.posting.ctypes.data
+    assert len(pickle.dumps(index)) == before
+    for t in np.flatnonzero(index.row < 0):
+        at = np.frombuffer(index.lists[t].as_py(), dtype=np.int32).reshape(-1, 2)
+        assert at[:, 0].tolist() == [e for e, x in enumerate(sparse) if t in x[0]]
+
+
+def test_words_are_counted_once_a_document(spark):
+    rng = random.Random(8)
+    texts = [prose(rng, rng.randrange(0, 60), 50) for _ in range(200)] + [None, ""]
+    index = {w.encode(): i for i, w in enumerate(sorted({w.lower() for t in texts if t for w in t.split()})[::2])}
+    df, n = toxicity.document_frequencies(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)]), index)
+    want = [sum(w in set(toxicity.words((t or "").encode())) for t in texts) for w in index]
+    assert n == len(texts) and df.tolist() == want
+
+
 def test_evidence_equals_brute_force_over_all_terms(spark):
     rng = random.Random(16)
     rows = [(i, prose(rng, rng.randrange(0, 40), 80) + (" vile" if i % 4 == 0 else ""), "s") for i in range(150)]
